@@ -1,4 +1,4 @@
 """Named queries over the test tables, one module per area."""
 
 from sievemill.queries.registry import ORACLES, QUERIES  # noqa: F401
-from sievemill.queries import cleaning, privacy, profiling, relational, usage  # noqa: F401
+from sievemill.queries import cleaning, privacy, profiling, relational, rules, usage  # noqa: F401
