@@ -136,3 +136,14 @@ def common_prefix(low: Column, high: Column) -> Column:
         ),
         -1,
     )
+
+
+def with_readings(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Add, per text column, its reading as a number (``_num_i``) and as a timestamp (``_date_i``).
+
+    Aggregates over these columns read every value once, however many tests use it.
+    """
+    plan = {}
+    for i, c in enumerate(texts):
+        plan |= {f"_num_{i}": parse_number(F.col(c)), f"_date_{i}": parse_date(F.col(c))}
+    return df.withColumns(plan) if plan else df

@@ -41,12 +41,12 @@ def convert_types(df: DataFrame) -> DataFrame:
         used = F.col(c).isNotNull()
         whole = F.col(c).rlike(r"^\s*[+-]?\d{1,18}\s*$")
         aggs += [
-            F.bool_and(F.when(used, C.parse_number(F.col(c)).isNotNull())).alias(f"n_{i}"),
+            F.bool_and(F.when(used, F.col(f"_num_{i}").isNotNull())).alias(f"n_{i}"),
             F.bool_and(F.when(used, whole)).alias(f"w_{i}"),
             F.bool_or(F.when(used, F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}"))).alias(f"s_{i}"),
-            F.bool_and(F.when(used, C.parse_date(F.col(c)).isNotNull())).alias(f"t_{i}"),
+            F.bool_and(F.when(used, F.col(f"_date_{i}").isNotNull())).alias(f"t_{i}"),
         ]
-    facts = df.agg(*aggs).first()
+    facts = C.with_readings(df, texts).agg(*aggs).first()
     plan = {}
     for i, c in enumerate(texts):
         if facts[f"n_{i}"]:

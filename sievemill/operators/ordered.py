@@ -51,8 +51,7 @@ def ordered_scan(
     rows, biggest = group_sizes(df, part)
 
     if biggest <= limit(spark, "sievemill.groupRows"):
-        w = Window.partitionBy(*part).orderBy(*order)
-        return df.withColumns(_local(w, sums, last, following, lag, number))
+        return df.withColumns(_local(part, order, sums, last, following, lag, number))
 
     chunks = min(20_000, max(2, math.ceil(rows / limit(spark, "sievemill.chunkRows"))))
     # the chunk number is written down with the rows: range bounds are sampled, so recomputing
@@ -61,7 +60,6 @@ def ordered_scan(
         df.repartitionByRange(chunks, *[F.col(c) for c in part + order]).withColumn("_chunk", F.spark_partition_id())
     )
     keys = part + ["_chunk"]
-    w = Window.partitionBy(*keys).orderBy(*order)
     rank = F.struct(*order)
     carried = {"_n": F.count(F.lit(1))}
     for out, expr in sums.items():
@@ -77,20 +75,20 @@ def ordered_scan(
     # at most ``chunks`` rows per group from here on
     across = Window.partitionBy(*part).orderBy("_chunk")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*part).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = {"_c_n": F.coalesce(F.sum("_n").over(before), F.lit(0))}
     for out in sums:
         carry[f"_c_s_{out}"] = F.sum(f"_s_{out}").over(before)
     for out in last:
         carry[f"_c_l_{out}"] = F.last(f"_l_{out}", ignorenulls=True).over(before)
     for out in following:
-        carry[f"_c_f_{out}"] = F.first(f"_f_{out}", ignorenulls=True).over(after)
+        carry[f"_c_f_{out}"] = F.last(f"_f_{out}", ignorenulls=True).over(after)
     for out in lag:
         carry[f"_c_g_{out}"] = F.last(f"_g_{out}").over(before)
     carry_df = per_chunk.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], *[e.alias(c) for c, e in carry.items()]
     )
-    local = rows_df.withColumns(_local(w, sums, last, following, lag, "_rn", prefix="_o_"))
+    local = rows_df.withColumns(_local(keys, order, sums, last, following, lag, "_rn", prefix="_o_"))
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -111,12 +109,15 @@ def ordered_scan(
     return joined.select(*out_cols)
 
 
-def _local(w, sums, last, following, lag, number, prefix="") -> dict[str, Column]:
+def _local(part, order, sums, last, following, lag, number, prefix="") -> dict[str, Column]:
+    w = Window.partitionBy(*part).orderBy(*order)
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = w.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in reverse: a frame that ends at the end of the partition is
+    # recomputed for every row, one that starts at its beginning only grows
+    back = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     out = {prefix + o: F.sum(e).over(up) for o, e in sums.items()}
     out |= {prefix + o: F.last(c, ignorenulls=True).over(up) for o, c in last.items()}
-    out |= {prefix + o: F.first(c, ignorenulls=True).over(down) for o, c in following.items()}
+    out |= {prefix + o: F.last(c, ignorenulls=True).over(back) for o, c in following.items()}
     out |= {prefix + o: F.lag(c).over(w) for o, c in lag.items()}
     if number:
         out[prefix + number] = F.row_number().over(w).cast("bigint")

@@ -195,20 +195,20 @@ def analyze_patterns(df: DataFrame, distributions: bool = True) -> dict[str, dic
         if c in texts:
             v = F.col(c)
             used = v.isNotNull()
-            number = C.parse_number(v)
+            number, moment = F.col(f"_num_{texts.index(c)}"), F.col(f"_date_{texts.index(c)}")
             flipped = F.reverse(v)
             aggs += [
                 F.bool_and(F.when(used, number.isNotNull())).alias(f"num_{i}"),
                 F.bool_and(F.when(number.isNotNull(), number == F.floor(number))).alias(f"w_{i}"),
-                F.bool_and(F.when(used, C.parse_date(v).isNotNull())).alias(f"ts_{i}"),
-                F.min(C.parse_date(v)).alias(f"tlo_{i}"), F.max(C.parse_date(v)).alias(f"thi_{i}"),
+                F.bool_and(F.when(used, moment.isNotNull())).alias(f"ts_{i}"),
+                F.min(moment).alias(f"tlo_{i}"), F.max(moment).alias(f"thi_{i}"),
                 F.avg(F.length(v)).alias(f"alen_{i}"), F.min(F.length(v)).alias(f"llen_{i}"), F.max(F.length(v)).alias(f"hlen_{i}"),
                 F.bool_or(v.rlike(C.EMAIL_IN_TEXT)).alias(f"email_{i}"), F.bool_or(v.rlike(C.URL_IN_TEXT)).alias(f"url_{i}"),
                 F.bool_or(v.rlike(C.PHONE_IN_TEXT)).alias(f"phone_{i}"), F.bool_or(v.rlike(C.UUID_IN_TEXT)).alias(f"uuid_{i}"),
                 F.count_if(v.rlike(C.CAPITALISED_NAME)).alias(f"name_{i}"),
                 F.min(flipped).alias(f"rlo_{i}"), F.max(flipped).alias(f"rhi_{i}"),
             ]
-    row = df.agg(*aggs).first()
+    row = C.with_readings(df, texts).agg(*aggs).first()
     out: dict[str, dict] = {}
     as_number: list[str] = []
     categories: list[str] = []

@@ -182,24 +182,18 @@ def quality_score(df: DataFrame) -> DataFrame:
     )
 
 
-def kind_of_text(col: Column) -> Column:
-    """number / date / string for a text value."""
-    return (
-        F.when(C.parse_number(col).isNotNull(), "number")
-        .when(C.parse_date(col).isNotNull(), "date")
-        .otherwise("string")
-    )
-
-
 def mixed_flags(texts: Sequence[str]) -> list[Column]:
-    """Per text column: does it hold values of more than one kind?  Three boolean aggregates each."""
+    """Per text column: does it hold values of more than one kind (number, date, other text)?
+
+    To be aggregated over :func:`columns.with_readings`.
+    """
     out = []
     for i, c in enumerate(texts):
         usable = F.col(c).isNotNull() & (F.col(c) != "")
-        kind = kind_of_text(F.col(c))
+        number, date = F.col(f"_num_{i}").isNotNull(), F.col(f"_date_{i}").isNotNull()
         kinds = sum(
-            (F.coalesce(F.bool_or(usable & (kind == k)), F.lit(False)).cast("int") for k in ("number", "date")),
-            F.coalesce(F.bool_or(usable & (kind == "string")), F.lit(False)).cast("int"),
+            (F.coalesce(F.bool_or(usable & k), F.lit(False)).cast("int") for k in (~number & date, ~number & ~date)),
+            F.coalesce(F.bool_or(usable & number), F.lit(False)).cast("int"),
         )
         out.append((kinds > 1).alias(f"m_{i}"))
     return out
@@ -209,7 +203,8 @@ def detect_issues(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
     """Issue rows: duplicates (medium), missing values (low under 5 % of rows), mixed types (high)."""
     texts = C.string_columns(df)
     nulls = sum([F.count_if(F.col(c).isNull()) for c in df.columns[1:]], F.count_if(F.col(df.columns[0]).isNull()))
-    one = df.agg(F.count(F.lit(1)).alias("rows"), nulls.alias("missing"), *mixed_flags(texts)).withColumn("_one", F.lit(1))
+    facts = C.with_readings(df, texts).agg(F.count(F.lit(1)).alias("rows"), nulls.alias("missing"), *mixed_flags(texts))
+    one = facts.withColumn("_one", F.lit(1))
     one = one.join(duplicate_count(df, subset).withColumn("_one", F.lit(1)), "_one")
     dup, missing = F.col("duplicates"), F.col("missing")
 
@@ -268,18 +263,24 @@ def detect_types(df: DataFrame) -> DataFrame:
     aggs = []
     known = {"boolean": "Boolean", "datetime": "Date", "nested": "String"}
     fam = {f.name: family(f.dataType) for f in df.schema.fields}
+    # trimmed text with blanks as null, read once per value
+    judged = [c for c in df.columns if fam[c] not in known]
+    cleaned = df.select(
+        *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(df.columns) if fam[c] in known],
+        *[F.when(~_blank(F.col(c), ("", "null")), F.trim(F.col(c).cast("string"))).alias(f"_u_{i}") for i, c in enumerate(judged)],
+    )
+    read = C.with_readings(cleaned, [f"_u_{i}" for i in range(len(judged))])
     for i, c in enumerate(df.columns):
         if fam[c] in known:  # the schema already says it
-            aggs.append(F.count(c).alias(f"n_{i}"))
+            aggs.append(F.count(f"_c_{i}").alias(f"n_{i}"))
             continue
-        text = F.trim(F.col(c).cast("string"))
-        used = F.when(~_blank(F.col(c), ("", "null")), text)
-        number = C.parse_number(used)
-        dates = C.parse_date(used).isNotNull() | C.parse_date(used, C.MONTH_FIRST).isNotNull()
+        at = judged.index(c)
+        used, number, date = F.col(f"_u_{at}"), F.col(f"_num_{at}"), F.col(f"_date_{at}")
+        month_first = used.rlike("|".join(C.MONTH_FIRST.values())) & C.parse_date(used, C.MONTH_FIRST).isNotNull()
         aggs += [
             F.count(used).alias(f"n_{i}"),
             F.bool_and(F.when(used.isNotNull(), F.lower(used).isin(*_BOOL_WORDS))).alias(f"b_{i}"),
-            F.bool_and(F.when(used.isNotNull(), dates)).alias(f"t_{i}"),
+            F.bool_and(F.when(used.isNotNull(), date.isNotNull() | month_first)).alias(f"t_{i}"),
             F.bool_and(F.when(used.isNotNull(), number.isNotNull())).alias(f"f_{i}"),
             F.bool_and(F.when(number.isNotNull(), number == F.floor(number))).alias(f"w_{i}"),
             F.count_if(used.rlike(C.EMAIL_WHOLE)).alias(f"e_{i}"),
@@ -296,7 +297,7 @@ def detect_types(df: DataFrame) -> DataFrame:
             .when(F.col(f"e_{i}") > F.col(f"n_{i}") * 0.8, "Email").otherwise("String")
         )
         ladder.append(F.struct(F.lit(c).alias("column"), kind.alias("type"), F.col(f"n_{i}").alias("filled")))
-    return C.stack_rows(df.agg(*aggs), ladder)
+    return C.stack_rows(read.agg(*aggs), ladder)
 
 
 # --- fixed values: name parts that give a semantic type, first match wins ----------------------
@@ -332,8 +333,8 @@ def initial_analysis(df: DataFrame) -> DataFrame:
     for i, c in enumerate(texts):
         used = F.when(~_blank(F.col(c), ("", "null")), F.trim(F.col(c)))
         aggs += [F.count(used).alias(f"u_{i}"), F.count_if(used.rlike(C.EMAIL_WHOLE)).alias(f"e_{i}"),
-                 F.count_if(C.parse_date(used).isNotNull()).alias(f"t_{i}")]
-    one = df.agg(*aggs).withColumn("_one", F.lit(1)).join(duplicate_count(df).withColumn("_one", F.lit(1)), "_one")
+                 F.count_if(used.isNotNull() & F.col(f"_date_{i}").isNotNull()).alias(f"t_{i}")]
+    one = C.with_readings(df, texts).agg(*aggs).withColumn("_one", F.lit(1)).join(duplicate_count(df).withColumn("_one", F.lit(1)), "_one")
 
     def row(kind, column, n, severity, when):
         return F.when(when, F.struct(F.lit(kind).alias("issue"), F.lit(column).alias("column"),
