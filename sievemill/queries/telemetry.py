@@ -155,7 +155,7 @@ _POINTS = """with p as (select event_id, ts, user_id, case event_type when 'erro
     select name, "window", count(*) as count, case when name not like 'app.%' then round(avg(value), 9) end as value, case when name like 'app.%' then round(avg(value), 9) end as mean,
       case when name like 'app.%' then round(quantile_cont(value, 0.5), 9) end as median, case when name like 'app.%' then round(quantile_cont(value, 0.95), 9) end as p95,
       case when name like 'app.%' then round(quantile_cont(value, 0.99), 9) end as p99, case when name like 'app.%' then min(value) end as min, case when name like 'app.%' then max(value) end as max
-    from x group by name, "window"""")
+    from x group by "window", name""")
 def metric_rollup(t):
     return rounded(M.rollup_at(points(t.events), M.definitions(t.spark), AS_OF), "value", "mean", "median", "p95", "p99", n=9)
 
