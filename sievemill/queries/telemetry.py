@@ -162,11 +162,12 @@ def metric_rollup(t):
 
 @query("metric_trailing", _POINTS + """
     , b as (select name, floor(epoch_us(ts) / 3600000000.0)::bigint as b, count(*) n, sum(value) s, min(value) lo, max(value) hi from p group by all)
-    select name, to_timestamp((b + 1) * 3600)::timestamp as window_end, sum(n) over w::bigint as count, round(sum(s) over w / sum(n) over w, 9) as avg, min(lo) over w as min, max(hi) over w as max
+    select name, to_timestamp((b + 1) * 3600)::timestamp as window_end, sum(n) over w::bigint as count, round(sum(s) over w, 4) as total, min(lo) over w as min, max(hi) over w as max
     from b window w as (partition by name order by b range between 23 preceding and current row)""")
 def metric_trailing(t):
     out = M.trailing_rollup(points(t.events), 86400, 3600)
-    return rounded(out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz")), "avg", n=9)
+    total = F.round(F.col("avg") * F.col("count"), 4).alias("total")
+    return out.select("name", F.col("window_end").cast("timestamp_ntz").alias("window_end"), "count", total, "min", "max")
 
 
 @query("metric_dropped", "select 'unregistered.metric' as name, count(*) as dropped from events where event_type = 'signup'")
