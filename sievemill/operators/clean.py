@@ -378,7 +378,7 @@ def _rolling_flag(df, column, window, z, order, part, name):
     rows = ordered.ordered_scan(df, order, part, number="_n")
     # blocks of rows, each with a copy of the ``window`` rows before it, so that a long group is
     # many window partitions
-    block = min(max(50 * window, 1000), limit(df.sparkSession, "sievemill.groupRows"))
+    block = max(window, min(max(50 * window, 1000), limit(df.sparkSession, "sievemill.groupRows")))
     home = F.floor((F.col("_n") - 1) / block)
     tail = (F.col("_n") - 1) % block >= block - window
     copied = rows.withColumn("_b", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))))

@@ -90,9 +90,9 @@ def _follow(timed: DataFrame) -> DataFrame:
     reached = cut(timed.groupBy("rule_id").agg(F.min("_us").alias("us")))
     while True:
         # everything 2^k steps behind what is reached so far
-        found = reached.join(jump, (reached["us"] == jump["src"]) & (reached["rule_id"] == jump["rule_id"])).select(
-            reached["rule_id"], jump["next"].alias("us")
-        ).where(F.col("us").isNotNull())
+        here = reached.select(F.col("rule_id").alias("_r"), F.col("us").alias("_u"))
+        found = jump.join(here, (F.col("rule_id") == F.col("_r")) & (F.col("src") == F.col("_u"))).where(F.col("next").isNotNull())
+        found = found.select("rule_id", F.col("next").alias("us"))
         grown = cut(reached.unionByName(found).distinct())
         if grown.count() == reached.count():
             break
