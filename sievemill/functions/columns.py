@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,3 +148,9 @@ def with_readings(df: DataFrame, texts: Sequence[str]) -> DataFrame:
     for i, c in enumerate(texts):
         plan |= {f"_num_{i}": parse_number(F.col(c)), f"_date_{i}": parse_date(F.col(c))}
     return df.withColumns(plan) if plan else df
+
+
+def beside(*one_row: DataFrame) -> DataFrame:
+    """The columns of several one-row tables in one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

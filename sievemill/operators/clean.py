@@ -32,15 +32,17 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, order: S
 
 def convert_types(df: DataFrame) -> DataFrame:
     """Text columns become numbers when every value reads as one, timestamps when some value starts
-    like a date and every value reads as one."""
+    like a date and every value reads as one.  Columns with runs of 13-19 digits are identifiers and
+    stay text, so that card masking still finds them."""
     texts = C.string_columns(df)
     if not texts:
         return df
     aggs = []
     for i, c in enumerate(texts):
         used = F.col(c).isNotNull()
-        whole = F.col(c).rlike(r"^\s*[+-]?\d{1,18}\s*$")
+        whole = F.col(c).rlike(r"^\s*[+-]?\d{1,12}\s*$")
         aggs += [
+            F.bool_or(F.when(used, F.col(c).rlike(r"^\s*\d{13,19}\s*$"))).alias(f"id_{i}"),
             F.bool_and(F.when(used, F.col(f"_num_{i}").isNotNull())).alias(f"n_{i}"),
             F.bool_and(F.when(used, whole)).alias(f"w_{i}"),
             F.bool_or(F.when(used, F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}"))).alias(f"s_{i}"),
@@ -49,6 +51,8 @@ def convert_types(df: DataFrame) -> DataFrame:
     facts = C.with_readings(df, texts).agg(*aggs).first()
     plan = {}
     for i, c in enumerate(texts):
+        if facts[f"id_{i}"]:
+            continue
         if facts[f"n_{i}"]:
             plan[c] = F.trim(c).try_cast("bigint" if facts[f"w_{i}"] else "double")
         elif facts[f"s_{i}"] and facts[f"t_{i}"]:
@@ -91,13 +95,14 @@ def fill_missing(
         nums = [c for c in C.numeric_columns(df) if not cols or c in cols]
         if not nums:
             return df
+        row = df.agg(*[F.avg(c).alias(f"a_{i}") for i, c in enumerate(nums)], *[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(nums)]).first()
+        holed = [c for i, c in enumerate(nums) if row[f"n_{i}"]]
         if strategy == "mean":
-            row = df.agg(*[F.avg(c).alias(c) for c in nums]).first()
-            known = {c: row[c] for c in nums}
+            known = {c: row[f"a_{nums.index(c)}"] for c in holed}
         else:
-            known = {c: q[0] for c, q in exact_quantiles(df, nums, [0.5]).items()}
-        # the column turns to double, as a mean of whole numbers need not be whole
-        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in known.items() if v is not None})
+            known = {c: q[0] for c, q in exact_quantiles(df, holed, [0.5]).items()}
+        # a column with holes turns to double, as a mean of whole numbers need not be whole
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in known.items() if v is not None}) if known else df
     if strategy == "mode":
         known = modes(df, cols)
         kinds = dict(df.dtypes)

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.columns import beside
 from sievemill.session import cut, limit
 
 
@@ -183,13 +184,12 @@ def gaps(df: DataFrame, ts: str, part: Sequence[str] = (), tie: Sequence[str] =
 
 
 def _gap_mode(gap_df: DataFrame, part: Sequence[str]) -> DataFrame:
-    keys = list(part) or ["_all"]
-    gap_df = gap_df if part else gap_df.withColumn("_all", F.lit(0))
-    best = F.max_by("gap", F.struct(F.col("n"), -F.col("gap")))
-    mode = gap_df.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(best.alias("interval"))
-    spread = gap_df.groupBy(*keys).agg(F.stddev_samp("gap").alias("gap_std"), F.count(F.lit(1)).alias("gaps"))
-    joined = mode.join(spread, keys)
-    return joined if part else joined.drop("_all")
+    best = F.max_by("gap", F.struct(F.col("n"), -F.col("gap"))).alias("interval")
+    spread = [F.stddev_samp("gap").alias("gap_std"), F.count(F.lit(1)).alias("gaps")]
+    counted = gap_df.groupBy(*part, "gap").agg(F.count(F.lit(1)).alias("n"))
+    if part:
+        return counted.groupBy(*part).agg(best).join(gap_df.groupBy(*part).agg(*spread), list(part))
+    return beside(counted.agg(best), gap_df.agg(*spread))
 
 
 def regular_series(df: DataFrame, ts: str, part: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:

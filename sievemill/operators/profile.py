@@ -163,13 +163,12 @@ def quality_score(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
         *[F.count_distinct(F.col(c)).alias(f"d_{i}") for i, c in enumerate(cols)],
-    ).withColumn("_one", F.lit(1))
-    dup = duplicate_count(df).withColumn("_one", F.lit(1))
+    )
+    joined = C.beside(facts, duplicate_count(df))
     rows = F.col("rows")
     scores = [column_score((rows - F.col(f"n_{i}")) / rows * 100, F.col(f"d_{i}") / rows * 100) for i in range(len(cols))]
     mean_score = sum(scores[1:], scores[0]) / len(cols)
     filled = sum([F.col(f"n_{i}") for i in range(1, len(cols))], F.col("n_0"))
-    joined = facts.join(dup, "_one")
     return joined.select(
         rows.alias("rows"),
         mean_score.alias("column_score"),
@@ -204,8 +203,7 @@ def detect_issues(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
     texts = C.string_columns(df)
     nulls = sum([F.count_if(F.col(c).isNull()) for c in df.columns[1:]], F.count_if(F.col(df.columns[0]).isNull()))
     facts = C.with_readings(df, texts).agg(F.count(F.lit(1)).alias("rows"), nulls.alias("missing"), *mixed_flags(texts))
-    one = facts.withColumn("_one", F.lit(1))
-    one = one.join(duplicate_count(df, subset).withColumn("_one", F.lit(1)), "_one")
+    one = C.beside(facts, duplicate_count(df, subset))
     dup, missing = F.col("duplicates"), F.col("missing")
 
     def issue(kind, severity, column, count, message, when):
@@ -334,7 +332,7 @@ def initial_analysis(df: DataFrame) -> DataFrame:
         used = F.when(~_blank(F.col(c), ("", "null")), F.trim(F.col(c)))
         aggs += [F.count(used).alias(f"u_{i}"), F.count_if(used.rlike(C.EMAIL_WHOLE)).alias(f"e_{i}"),
                  F.count_if(used.isNotNull() & F.col(f"_date_{i}").isNotNull()).alias(f"t_{i}")]
-    one = C.with_readings(df, texts).agg(*aggs).withColumn("_one", F.lit(1)).join(duplicate_count(df).withColumn("_one", F.lit(1)), "_one")
+    one = C.beside(C.with_readings(df, texts).agg(*aggs), duplicate_count(df))
 
     def row(kind, column, n, severity, when):
         return F.when(when, F.struct(F.lit(kind).alias("issue"), F.lit(column).alias("column"),

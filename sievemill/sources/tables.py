@@ -17,7 +17,7 @@ _CORRUPT = "_corrupt_record"
 
 def text_encoding(spark: SparkSession, path: str) -> str:
     """utf-8 when the whole file reads as such, else latin-1."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
@@ -153,8 +153,8 @@ def validate_source(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         base = spark.read.option("header", True)
         inferred = base.option("inferSchema", True).csv(path).schema
         reader = base.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        df = reader.schema(inferred.add(_CORRUPT, T.StringType())).csv(path)
-        names = inferred.names
+        df = reader.schema(T.StructType([*inferred.fields, T.StructField(_CORRUPT, T.StringType())])).csv(path)
+        names = list(inferred.names)
     else:
         plain = spark.read.option("multiLine", fmt == "json").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
         inferred = plain.json(path).schema

@@ -115,9 +115,12 @@ def generate(
     for c, table in (many or {}).items():
         df = draw_from_table(df, c, table, "_key", seed)
     if relationships:
-        df = correlate(df, learned.get("correlations", []), patterns, "_key", seed)
+        pairs = learned.get("correlations", [])
+        df = correlate(df, pairs, patterns, "_key", seed)
+        # a pair that is already tied by its correlation is not redrawn from the determinant
+        tied = {frozenset(p[:2]) for p in pairs}
         for a, b in learned.get("dependencies", []):
-            if a in df.columns and b in df.columns:
+            if a in df.columns and b in df.columns and frozenset((a, b)) not in tied:
                 df = df.withColumn(b, gen_dependent(a, b, patterns[b], seed))
     if missing is not None:
         df = inject_missing(df, {c: min(p.get("missing_rate", 0.0), missing) for c, p in patterns.items()}, "_key", seed)
