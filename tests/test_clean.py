@@ -132,3 +132,23 @@ def test_lcs_against_table():
         a, b = ("".join(gen.choice("abcé") for _ in range(gen.randint(0, 90))) for _ in range(2))
         assert lcs_length(a, b) == slow(a, b)
     assert ratio("", "") == 100 and ratio("abc", "") == 0 and ratio(None, None) == 100
+
+
+def test_band_decides_like_the_full_table():
+    import random
+
+    from sievemill.functions.similarity import lcs_reaches, over_threshold
+    gen = random.Random(7)
+    for i in range(600):
+        n = gen.choice([0, 1, 5, 60, 400, 1500])
+        a = "".join(gen.choice("abcdé") for _ in range(n))
+        b = list(a)
+        for _ in range(gen.randint(0, max(1, n // 4))):
+            at = gen.randrange(len(b) + 1)
+            gen.choice([lambda: b.insert(at, gen.choice("abcdx")), lambda: b and b.pop(min(at, len(b) - 1)), lambda: b and b.__setitem__(min(at, len(b) - 1), "z")])()
+        b = "".join(b) if i % 5 else "".join(gen.choice("abcd") for _ in range(gen.randint(0, n + 3)))
+        best = lcs_length(a, b)
+        for need in {0, best - 1, best, best + 1, best + 7}:
+            assert lcs_reaches(a, b, need) == (best >= need)
+        for percent in (50, 80, 90, 95):
+            assert over_threshold(a, b, percent) == (ratio(a, b) > percent)
