@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import rng
 from sievemill.operators.quantiles import exact_quantiles
-from sievemill.session import cut
+from sievemill.session import cut, spread
 
 _POOL = 50_000
 
@@ -65,9 +65,11 @@ def isolation_forest(
     # one hash per row picks a pool; only pool rows are offered to every tree
     pool = data.where(rng.uniform(seed, "pool", "_key") < F.lit(min(1.0, _POOL / max(n, 1))))
     per_tree = min(1.0, sample / max(1, min(n, _POOL)))
-    offered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pair = F.concat_ws("/", F.col("tree"), F.col("_key"))
-    picked = offered.where(rng.uniform(seed, "tree", pair) < F.lit(per_tree)).withColumn("_draw", rng.bits(seed, "order", pair))
+    offered = spread(pool).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # pool x trees draws: a 64-bit hash is enough here and far cheaper than a digest
+    draw = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_key").cast("string"))
+    span = 1 << 53
+    picked = offered.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(span)) < F.lit(int(per_tree * span)))
     height = math.ceil(math.log2(max(sample, 2)))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LIMITS = {
     # rows one window / grouped-map task may hold
@@ -72,3 +73,15 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Few but costly rows dealt out over all cores, by a hash of ``cols`` (else of nothing, in turn).
+
+    A partition count that is asked for is kept by adaptive execution, which would otherwise merge
+    small partitions without knowing how long their rows take.  Hashing once more makes it a
+    partitioning of its own: one by the bare columns may be dropped in favour of a merged earlier one.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.xxhash64(*cols)) if cols else df.repartition(n)
