@@ -41,64 +41,71 @@ _JSON = (
 
 @dataclass(frozen=True)
 class LogPattern:
-    """One line format: the regex that recognises it and the fields it yields."""
+    """One line format: the regex that recognises it and the fields it yields.
+
+    With ``groups`` the regex runs once per line and ``build`` gets the array of its groups; without,
+    ``build`` gets the line.
+    """
 
     name: str
     regex: str
     source: str
     build: Callable[[Column], dict[str, Column]]
+    groups: int = 0
 
 
 def _entry(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS.items()])
 
 
-def _group(line: Column, regex: str, i: int) -> Column:
-    return F.regexp_extract(line, regex, i)
+_MARK = "\u0001"
+
 
+def _groups(line: Column, regex: str, n: int) -> Column:
+    """All groups of the first match, from one run of the regex: the match and the rest of the line
+    are replaced by the groups with a mark between them."""
+    marked = F.regexp_replace(line, regex + r"(?s:.*)\z", _MARK.join(f"${i}" for i in range(1, n + 1)))
+    return F.split(marked, _MARK)
 
-def _application(line: Column) -> dict[str, Column]:
-    g = lambda i: _group(line, APPLICATION, i)
-    user = F.regexp_extract(g(5), r"user_id=(\S+)", 1)
+
+def _application(g: Column) -> dict[str, Column]:
+    user = F.regexp_extract(g[4], r"user_id=(\S+)", 1)
     return {
-        "ts": F.try_to_timestamp(F.concat(g(1), F.lit("."), g(2)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")),
-        "level": F.upper(g(3)), "source": F.lit("application"), "service": g(4), "message": g(5),
+        "ts": F.try_to_timestamp(F.concat(g[0], F.lit("."), g[1]), F.lit("yyyy-MM-dd HH:mm:ss.SSS")),
+        "level": F.upper(g[2]), "source": F.lit("application"), "service": g[3], "message": g[4],
         "metadata": F.when(user != "", F.create_map(F.lit("user_id"), user)),
     }
 
 
-def _nginx(line: Column) -> dict[str, Column]:
-    g = lambda i: _group(line, NGINX, i)
-    status = g(4).try_cast("int")
-    words = F.split(g(3), r"\s+")
+def _nginx(g: Column) -> dict[str, Column]:
+    status = g[3].try_cast("int")
+    words = F.split(g[2], r"\s+")
     return {
-        "ts": F.try_to_timestamp(g(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
+        "ts": F.try_to_timestamp(g[1], F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
         "level": F.when(status >= 500, "ERROR").when(status >= 400, "WARNING").otherwise("INFO"),
-        "source": F.lit("webserver"), "service": F.lit("nginx"), "message": g(3), "ip_address": g(1),
+        "source": F.lit("webserver"), "service": F.lit("nginx"), "message": g[2], "ip_address": g[0],
         "metadata": F.create_map(
             F.lit("method"), F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit("path"), F.coalesce(F.get(words, F.lit(1)), F.lit("")),
-            F.lit("status_code"), g(4), F.lit("response_size"), g(5), F.lit("referer"), g(6), F.lit("user_agent"), g(7),
+            F.lit("status_code"), g[3], F.lit("response_size"), g[4], F.lit("referer"), g[5], F.lit("user_agent"), g[6],
         ),
     }
 
 
-def _slow_query(line: Column) -> dict[str, Column]:
-    g = lambda i: _group(line, SLOW_QUERY, i)
-    text = F.trim(g(4))
+def _slow_query(g: Column) -> dict[str, Column]:
+    text = F.trim(g[3])
     return {
-        "ts": F.try_to_timestamp(g(1), F.lit("yyMMdd HH:mm:ss")), "level": F.lit("WARNING"), "source": F.lit("database"),
+        "ts": F.try_to_timestamp(g[0], F.lit("yyMMdd HH:mm:ss")), "level": F.lit("WARNING"), "source": F.lit("database"),
         "service": F.lit("mysql"), "message": F.concat(F.lit("Slow query: "), F.substring(text, 1, 100), F.lit("...")),
-        "duration_ms": g(2).try_cast("double") * 1000,
-        "metadata": F.create_map(F.lit("query"), text, F.lit("query_time"), g(2), F.lit("rows_examined"), g(3)),
+        "duration_ms": g[1].try_cast("double") * 1000,
+        "metadata": F.create_map(F.lit("query"), text, F.lit("query_time"), g[1], F.lit("rows_examined"), g[2]),
     }
 
 
-def _security(line: Column) -> dict[str, Column]:
-    g = lambda i: _group(line, SECURITY, i)
+def _security(g: Column) -> dict[str, Column]:
     return {
-        "ts": g(1).try_cast("timestamp"), "level": F.upper(g(2)), "source": F.lit("security"), "service": F.lit("security"),
-        "message": g(4), "user_id": g(5), "ip_address": g(6), "metadata": F.create_map(F.lit("event_type"), g(3)),
-        "tags": F.array(F.lit("security"), F.lower(g(3))),
+        "ts": g[0].try_cast("timestamp"), "level": F.upper(g[1]), "source": F.lit("security"), "service": F.lit("security"),
+        "message": g[3], "user_id": g[4], "ip_address": g[5], "metadata": F.create_map(F.lit("event_type"), g[2]),
+        "tags": F.array(F.lit("security"), F.lower(g[2])),
     }
 
 
@@ -113,10 +120,10 @@ def _json(line: Column) -> dict[str, Column]:
 
 
 PATTERNS: list[LogPattern] = [
-    LogPattern("application", APPLICATION, "application", _application),
-    LogPattern("nginx_access", NGINX, "webserver", _nginx),
-    LogPattern("slow_query", SLOW_QUERY, "database", _slow_query),
-    LogPattern("security_audit", SECURITY, "security", _security),
+    LogPattern("application", APPLICATION, "application", _application, 5),
+    LogPattern("nginx_access", NGINX, "webserver", _nginx, 7),
+    LogPattern("slow_query", SLOW_QUERY, "database", _slow_query, 4),
+    LogPattern("security_audit", SECURITY, "security", _security, 6),
     LogPattern("json_structured", JSON_OBJECT, "application", _json),
 ]
 
@@ -142,14 +149,22 @@ def parse_logs(lines: DataFrame, column: str = "value", source: str | None = Non
         which = F.when(F.col("_line").rlike(p.regex), F.lit(p.name)) if which is None else which.when(F.col("_line").rlike(p.regex), F.lit(p.name))
     named = lines.select(*keep, line.alias("_line")).where(F.col("_line") != "")
     named = named.withColumn("_format", F.lit("raw") if which is None else which.otherwise("raw"))
+    cut_up = None
+    for p in used:
+        if p.groups:
+            test, made = F.col("_format") == p.name, _groups(F.col("_line"), p.regex, p.groups)
+            cut_up = F.when(test, made) if cut_up is None else cut_up.when(test, made)
+    named = named.withColumn("_groups", F.lit(None).cast("array<string>") if cut_up is None else cut_up)
     raw = _entry(level=F.lit("INFO"), source=F.lit(source or "application"), service=F.lit("unknown"), message=F.col("_line"))
     entry = None
     for p in used:
-        made = _entry(**p.build(F.col("_line")))
+        made = _entry(**p.build(F.col("_groups") if p.groups else F.col("_line")))
         test = F.col("_format") == p.name
         entry = F.when(test, made) if entry is None else entry.when(test, made)
     entry = raw if entry is None else entry.otherwise(raw)
-    out = named.withColumn("_e", entry).select(*keep, F.col("_format").alias("format"), "_e.*", "_line")
+    # generated rows are a border for the optimizer: the filter on level and source stays behind it,
+    # instead of building every entry a second time in front
+    out = named.select(*keep, F.col("_format").alias("format"), "_line", F.inline(F.array(entry)))
     known = F.col("level").isin(*LEVELS) & F.col("source").isin(*SOURCES)
     broken = (F.col("format") == "json_structured") & F.get_json_object("_line", "$").isNull()
     out = out.where(known & ~broken).drop("_line")
