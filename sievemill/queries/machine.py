@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import dedup as DD
 from sievemill.operators import ml as M
+from sievemill.operators.neighbours import knn
 from sievemill.plans import workflow as W
 from sievemill.queries.profiling import rounded
 from sievemill.queries.registry import query
@@ -174,3 +175,17 @@ def workflow_orders(t):
              ("export", {"path": _scratch(t), "fmt": "parquet"})]
     out, _ = W.Workflow(steps).run(t.orders)
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderpriority").alias("priorities"))
+
+
+@query("knn_events", """
+    with d as (select event_id, value as x, json_extract_string(props, '$.k')::double as y, event_type,
+        ('0x' || substr(md5('42:split:' || event_id), 1, 13))::bigint / 4503599627370496.0::double < 0.2 as asked from events),
+      a as (select * from d where asked), b as (select * from d where not asked),
+      n as (select a.event_id, b.event_type, row_number() over (partition by a.event_id order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.event_id) r from a, b),
+      v as (select event_id, event_type, count(*) c from n where r <= 5 group by all)
+    select event_id, event_type as prediction from v qualify row_number() over (partition by event_id order by c desc, event_type) = 1""")
+def knn_events(t):
+    """The test part of the events predicted from the train part."""
+    d = t.events.select("event_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), "event_type")
+    parts = M.split(d, "event_id", validation=0.0)
+    return knn(parts.where("part = 'train'"), parts.where("part = 'test'"), ["x", "y"], "event_type", "event_id", "event_id", 5, leaf=500)
