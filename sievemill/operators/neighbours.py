@@ -19,18 +19,16 @@ from sievemill.session import cut
 
 def _descend(tree: list[tuple], points: np.ndarray) -> np.ndarray:
     """Leaf number of every point; nodes are (dimension, threshold, left, right) or None."""
-    at = np.zeros(len(points), dtype=np.int64)
-    while True:
-        moved = False
-        for node in np.unique(at):
-            if tree[node] is None:
-                continue
-            dim, threshold, left, right = tree[node]
-            mine = at == node
-            at[mine] = np.where(points[mine, dim] <= threshold, left, right)
-            moved = True
-        if not moved:
-            return at
+    inner = np.array([t is not None for t in tree])
+    dim = np.array([t[0] if t else 0 for t in tree], dtype=np.int64)
+    threshold = np.array([t[1] if t else 0.0 for t in tree])
+    left = np.array([t[2] if t else 0 for t in tree], dtype=np.int64)
+    right = np.array([t[3] if t else 0 for t in tree], dtype=np.int64)
+    at, rows = np.zeros(len(points), dtype=np.int64), np.arange(len(points))
+    while inner[at].any():
+        step = np.where(points[rows, dim[at]] <= threshold[at], left[at], right[at])
+        at = np.where(inner[at], step, at)
+    return at
 
 
 def _with_leaf(df: DataFrame, cols: Sequence[str], tree: list) -> DataFrame:
@@ -43,9 +41,38 @@ def _with_leaf(df: DataFrame, cols: Sequence[str], tree: list) -> DataFrame:
     return df.withColumn("_leaf", leaf(*[F.col(c).cast("double") for c in cols]))
 
 
-def _grow(points: DataFrame, cols: Sequence[str], size: int) -> tuple[list, pd.DataFrame]:
-    """(tree, leaf boxes).  One aggregate per level; the tree holds about rows / size nodes."""
+_SAMPLE = 50_000
+
+
+def _first_tree(points: DataFrame, cols: Sequence[str], size: int, n: int) -> list:
+    """Tree cut by the medians of a hash sample of some 50,000 points."""
+    share = min(1.0, _SAMPLE / max(n, 1))
+    picked = points.where(F.pmod(F.xxhash64(*cols, "_label"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(*cols)
+    sample = picked.toPandas().to_numpy(dtype=float)
     tree: list = [None]
+    todo = [(0, sample)]
+    while todo:
+        node, mine = todo.pop()
+        if len(mine) <= max(size * share, 1):
+            continue
+        spans = mine.max(axis=0) - mine.min(axis=0)
+        dim = int(np.argmax(spans))
+        if spans[dim] <= 0:
+            continue
+        threshold = float(np.median(mine[:, dim]))
+        if threshold >= mine[:, dim].max():
+            threshold = float(mine[mine[:, dim] < threshold, dim].max())
+        tree[node] = (dim, threshold, len(tree), len(tree) + 1)
+        left = mine[:, dim] <= threshold
+        todo += [(len(tree), mine[left]), (len(tree) + 1, mine[~left])]
+        tree += [None, None]
+    return tree
+
+
+def _grow(points: DataFrame, cols: Sequence[str], size: int, n: int) -> tuple[list, pd.DataFrame]:
+    """(tree, leaf boxes).  The sample's tree is measured on all points, and leaves that still hold too
+    many are cut further, one aggregate per level."""
+    tree = _first_tree(points, cols, size, n)
     while True:
         stats = _with_leaf(points, cols, tree).groupBy("_leaf").agg(
             F.count(F.lit(1)).alias("n"), F.sum("_weight").alias("w"),
@@ -82,8 +109,9 @@ def knn(
         F.count(F.lit(1)).alias("_weight"), F.min(train_key).alias("_first")
     )
     points = cut(merged)
-    size = max(leaf, 4 * k, points.count() // most_leaves)
-    tree, boxes = _grow(points, cols, size)
+    n = points.count()
+    size = max(leaf, 4 * k, n // most_leaves)
+    tree, boxes = _grow(points, cols, size, n)
     lo = boxes[[f"lo_{i}" for i in range(len(cols))]].to_numpy(dtype=float)
     hi = boxes[[f"hi_{i}" for i in range(len(cols))]].to_numpy(dtype=float)
     weights, ids = boxes["w"].to_numpy(dtype=np.int64), boxes["_leaf"].to_numpy(dtype=np.int64)

@@ -188,4 +188,4 @@ def knn_events(t):
     """The test part of the events predicted from the train part."""
     d = t.events.select("event_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), "event_type")
     parts = M.split(d, "event_id", validation=0.0)
-    return knn(parts.where("part = 'train'"), parts.where("part = 'test'"), ["x", "y"], "event_type", "event_id", "event_id", 5, leaf=500)
+    return knn(parts.where("part = 'train'"), parts.where("part = 'test'"), ["x", "y"], "event_type", "event_id", "event_id", 5, leaf=60)
