@@ -8,6 +8,7 @@ from sievemill.operators.relational import slow
 from sievemill.plans.rules import parse_rule
 from sievemill.queries.profiling import rounded
 from sievemill.queries.registry import query
+from sievemill.streaming import batches as B
 from sievemill.streaming import logs as L
 from sievemill.streaming import metrics as M
 from sievemill.streaming import rules as RS
@@ -240,6 +241,17 @@ def stream_alerts(t):
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("stream_rule_cooldown_by_batch", _COOL)
+def stream_rule_cooldown_by_batch(t):
+    return B.rules_by_batch(event_stream(t), COOL, "event_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_alerts_by_batch", _HITS + " select name, level, case when hit then 'open' else 'resolve' end as event, ts, value from c")
+def stream_alerts_by_batch(t):
+    out = B.alerts_by_batch(points(event_stream(t)), M.definitions(t.spark), ["event_id"])
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stream_metric_rollup", _POINTS + """
     select name, time_bucket(interval 1 hour, ts) as window_start, count(*) as count, round(avg(value), 9) as avg, min(value) as min, max(value) as max
     from p where name <> 'unregistered.metric' group by all""")

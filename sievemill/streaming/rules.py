@@ -32,7 +32,8 @@ def _fire(micros: np.ndarray, cooldown: int, last: int | None) -> tuple[list[int
     return out, last
 
 
-def _matches(events: DataFrame, rules: Sequence[Rule], key: str, ts: str) -> DataFrame:
+def matches(events: DataFrame, rules: Sequence[Rule], key: str, ts: str) -> DataFrame:
+    """Match rows (rule_id, key, ts, wait), the wait being the rule's cooldown in microseconds."""
     hits = apply_rules(events, rules, [key, ts]).select("rule_id", F.col(key).cast("bigint").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
     wait = F.lit(0).cast("bigint")
     for r in rules:
@@ -44,7 +45,7 @@ def _matches(events: DataFrame, rules: Sequence[Rule], key: str, ts: str) -> Dat
 def rule_stream(events: DataFrame, rules: Sequence[Rule], key: str, ts: str = "ts") -> DataFrame:
     """Firings of a rule set on a stream.  Matching is stateless; the state per rule is the time it
     last fired."""
-    hits = _matches(events, rules, key, ts)
+    hits = matches(events, rules, key, ts)
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -64,12 +65,17 @@ def with_cooldown(events: DataFrame, rules: Sequence[Rule], key: str, ts: str =
     gets a pointer to the next match after its cooldown, and the chain from the first match is
     followed by pointer doubling, so the number of rounds grows with the logarithm of the chain.
     """
-    hits = _matches(events, rules, key, ts).withColumn("_us", F.unix_micros("ts"))
+    return cooled(matches(events, rules, key, ts))
+
+
+def cooled(hits: DataFrame) -> DataFrame:
+    """Match rows that fire, as (rule_id, key, ts)."""
+    hits = hits.withColumn("_us", F.unix_micros("ts"))
     free = hits.where(F.col("wait") == 0).select("rule_id", "key", "ts")
     # among matches of one moment the smallest key stands for all: the others are silenced
     timed = hits.where(F.col("wait") > 0).groupBy("rule_id", "wait", "_us").agg(F.min("key").alias("key"))
     _, biggest = group_sizes(timed, ["rule_id"])
-    if biggest <= limit(events.sparkSession, "sievemill.groupRows"):
+    if biggest <= limit(hits.sparkSession, "sievemill.groupRows"):
 
         def walk(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("_us")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemill.plans.rules import parse_rule
 from sievemill.queries import telemetry as Q
+from sievemill.streaming import batches as B
 from sievemill.streaming import logs as L
 from sievemill.streaming import metrics as M
 from sievemill.streaming import rules as RS
@@ -45,6 +46,22 @@ def test_cooldown_equals_batch_over_triggers(spark, pieces, events):
     assert sorted((r["rule_id"], r["key"]) for r in got.collect()) == sorted((r["rule_id"], r["key"]) for r in want.collect())
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_batchwise_forms_equal_batch(spark, request, pieces, events, split):
+    defs = M.definitions(spark)
+    fired = sorted((r["rule_id"], r["key"]) for r in RS.with_cooldown(events, Q.COOL, "event_id").collect())
+    episodes = M.alert_episodes(Q.points(events), defs, ["event_id"]).collect()
+    if split:
+        for k, v in (("sievemill.groupRows", "60"), ("sievemill.chunkRows", "50")):
+            spark.conf.set(k, v)
+            request.addfinalizer(lambda k=k: spark.conf.unset(k))
+    got = B.alerts_by_batch(Q.points(stream(spark, pieces)), defs, ["event_id"]).collect()
+    assert sorted((r["name"], r["level"], r["ts"]) for r in got if r["event"] == "open") == sorted((r["name"], r["level"], r["triggered_at"]) for r in episodes)
+    assert sorted((r["name"], r["level"], r["ts"]) for r in got if r["event"] == "resolve") == sorted((r["name"], r["level"], r["resolved_at"]) for r in episodes if r["resolved_at"])
+    if not split:  # the pointer form is tested on its own
+        assert sorted((r["rule_id"], r["key"]) for r in B.rules_by_batch(stream(spark, pieces), Q.COOL, "event_id").collect()) == fired
+
+
 def test_cooldown_of_a_hot_rule_by_pointers(spark, small_limits, events):
     rule = parse_rule({"rule_id": "all", "name": "all", "cooldown_seconds": 40000, "conditions": {"field": "event_id", "operator": "greater_or_equal", "value": 0}, "actions": []})
     got = sorted(r["ts"] for r in RS.with_cooldown(events, [rule], "event_id").collect())
