@@ -14,7 +14,7 @@ from sievemill.functions.columns import clip
 from sievemill.operators.clean import uuid_text
 
 # --- fixed values: vocabularies ----------------------------------------------------------------
-FIRST_NAMES = ["Ada", "Ben", "Cara", "Dan", "Eva", "Finn", "Gina", "Hugo", "Iris", "Jack", "Kira", "Liam", "Mona", "Nils", "Olga", "Paul", "Rosa", "Sam", "Tara", "Yara"]
+FIRST_NAMES = ["Amy", "Ben", "Cara", "Dan", "Eva", "Finn", "Gina", "Hugo", "Iris", "Jack", "Kira", "Liam", "Mona", "Nils", "Olga", "Paul", "Rosa", "Sam", "Tara", "Yara"]
 LAST_NAMES = ["Adler", "Baker", "Castro", "Dunn", "Evans", "Fox", "Grant", "Hayes", "Ivers", "Jones", "Klein", "Lopez", "Meyer", "Novak", "Ortiz", "Price", "Quinn", "Reed", "Stone", "Wolf"]
 STREETS = ["Main St", "Oak Ave", "Park Rd", "Hill Ln", "Lake Dr", "Mill St", "Pine Ave", "River Rd"]
 CITIES = ["Springfield", "Riverton", "Lakeside", "Fairview", "Georgetown", "Milford", "Ashland", "Clinton"]

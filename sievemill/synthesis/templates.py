@@ -53,6 +53,26 @@ PAYMENT_METHODS = {"Credit Card": 0.40, "Debit Card": 0.25, "PayPal": 0.15, "App
 SUPPLIER_WEIGHTS = [30, 25, 20, 10, 5, 3, 3, 2, 1, 1]
 # -----------------------------------------------------------------------------------------------
 
+# --- fixed values: lists and weights of the domain tables and levels --------------------------------
+SHOP_CATEGORIES = ["Electronics", "Clothing", "Books", "Home", "Sports"]
+SHOP_PAYMENTS = {"Credit Card": 0.5, "PayPal": 0.3, "Debit Card": 0.15, "Bitcoin": 0.05}
+SHOP_STATUS = {"Pending": 0.1, "Shipped": 0.2, "Delivered": 0.65, "Cancelled": 0.05}
+PATIENT_GENDERS = {"M": 0.48, "F": 0.50, "Other": 0.02}
+BLOOD_TYPES = ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"]
+DIAGNOSES = ["Diabetes", "Hypertension", "Cardiac", "Respiratory", "Other"]
+MONEY_MOVES = {"Deposit": 0.3, "Withdrawal": 0.3, "Transfer": 0.2, "Payment": 0.2}
+SPENDING = ["Food", "Transport", "Entertainment", "Bills", "Shopping", "Other"]
+SENSORS = ["Temperature", "Humidity", "Pressure", "Motion"]
+UNITS = ["C", "%", "kPa", "boolean"]
+TEAMS = ["Sales", "Engineering", "Marketing", "HR"]
+GRADES = ["Junior", "Mid", "Senior", "Lead"]
+GRADE_YEARS = [0, 2, 5, 10, 40]
+GENDERS = {"Male": 0.49, "Female": 0.49, "Other": 0.02}
+TITLES = ["Dr.", "Dr.", "Dr.", "Prof."]
+PRICE_ENDINGS = [0.99, 0.95, 0.0]
+GOODS = ["Widget", "Gadget", "Device", "Tool", "Item"]
+# -----------------------------------------------------------------------------------------------
+
 # --- fixed values: words of each mood -------------------------------------------------------------
 MOODS = {
     "positive": ["excellent", "great", "wonderful", "amazing", "fantastic", "love"],
@@ -111,12 +131,12 @@ def healthcare(d: Draw, as_of: str, n: int) -> dict[str, Column]:
         "patient_id": d.code("patient_id", "P", 8),
         "patient_name": d.full_name("patient_name"),
         "age": d.normal("age", 45, 20, 0, 100).cast("int"),
-        "gender": d.weighted("gender", {"Male": 0.49, "Female": 0.49, "Other": 0.02}),
+        "gender": d.weighted("gender", GENDERS),
         "diagnosis_code": d.weighted("diagnosis_code", dict(zip(ICD10, ICD10_WEIGHTS))),
         "admission_date": _days_ago(d, "admission_date", 730, as_of),
         "treatment_cost": F.round(clip(d.lognormal("treatment_cost", 8.5, 1.5), 100.0, 500000.0), 2),
         "insurance_provider": d.weighted("insurance_provider", INSURERS),
-        "doctor_name": F.concat_ws(" ", d.choice("title", ["Dr.", "Dr.", "Dr.", "Prof."]), d.full_name("doctor_name")),
+        "doctor_name": F.concat_ws(" ", d.choice("title", TITLES), d.full_name("doctor_name")),
         "department": d.choice("department", DEPARTMENTS),
     }
 
@@ -144,7 +164,7 @@ def skewed_customer(d: Draw, name: str, customers: int, prefix: str = "CUST", wi
 
 
 def retail(d: Draw, as_of: str, n: int) -> dict[str, Column]:
-    price = F.floor(d.lognormal("price", 3.5, 1.2)) + d.choice("price.ending", [0.99, 0.95, 0.0])
+    price = F.floor(d.lognormal("price", 3.5, 1.2)) + d.choice("price.ending", PRICE_ENDINGS)
     return {
         "order_id": d.code("order_id", "ORD", 10),
         "customer_id": skewed_customer(d, "customer_id", max(1, n // 3)),
@@ -228,7 +248,7 @@ def custom_column(d: Draw, c: Mapping, as_of: str) -> Column:
             "sku": lambda: F.concat(F.lit("SKU-"), d.integer(name, 1000, 9999).cast("string")),
             "zipcode": lambda: d.integer(name, 10000, 99999).cast("string"),
             "company": lambda: d.company(name),
-            "product": lambda: F.concat(d.choice(name, ["Widget", "Gadget", "Device", "Tool", "Item"]), F.lit(" "), d.integer(f"{name}.n", 100, 999).cast("string")),
+            "product": lambda: F.concat(d.choice(name, GOODS), F.lit(" "), d.integer(f"{name}.n", 100, 999).cast("string")),
         }
         if c["pattern"] in pattern:
             return pattern[c["pattern"]]()
@@ -253,12 +273,12 @@ def ecommerce(d: Draw, n: int, as_of: str) -> dict[str, Column]:
         "customer_id": F.concat(F.lit("CUST"), F.lpad(d.integer("customer", 1, max(1, n // 10 - 1)).cast("string"), 6, "0")),
         "product_id": F.concat(F.lit("PROD"), F.lpad(d.integer("product", 1, 999).cast("string"), 5, "0")),
         "product_name": F.initcap(F.concat_ws(" ", d.word("p1"), d.word("p2"))),
-        "category": d.choice("category", ["Electronics", "Clothing", "Books", "Home", "Sports"]),
+        "category": d.choice("category", SHOP_CATEGORIES),
         "price": price, "quantity": quantity,
         "order_date": d.moment("order_date", _year_before(as_of), as_of),
         "shipping_address": d.address("shipping_address"),
-        "payment_method": d.weighted("payment_method", {"Credit Card": 0.5, "PayPal": 0.3, "Debit Card": 0.15, "Bitcoin": 0.05}),
-        "status": d.weighted("status", {"Pending": 0.1, "Shipped": 0.2, "Delivered": 0.65, "Cancelled": 0.05}),
+        "payment_method": d.weighted("payment_method", SHOP_PAYMENTS),
+        "status": d.weighted("status", SHOP_STATUS),
         "total_amount": F.round(price * quantity, 2),
     }
 
@@ -271,10 +291,10 @@ def patients(d: Draw, n: int, as_of: str) -> dict[str, Column]:
     return {
         "patient_id": F.concat(F.lit("PAT"), F.lpad((d.key + 1).cast("string"), 6, "0")),
         "age": d.beta("age", 5, 2) * 100,
-        "gender": d.weighted("gender", {"M": 0.48, "F": 0.50, "Other": 0.02}),
-        "blood_type": d.choice("blood_type", ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"]),
+        "gender": d.weighted("gender", PATIENT_GENDERS),
+        "blood_type": d.choice("blood_type", BLOOD_TYPES),
         "admission_date": d.date("admission_date", _year_before(as_of, 2), as_of),
-        "diagnosis": d.choice("diagnosis", ["Diabetes", "Hypertension", "Cardiac", "Respiratory", "Other"]),
+        "diagnosis": d.choice("diagnosis", DIAGNOSES),
         "treatment": d.sentence("treatment", 5),
         "blood_pressure_sys": d.normal("sys", 120, 20, 80, 200),
         "blood_pressure_dia": d.normal("dia", 80, 10, 50, 120),
@@ -289,11 +309,11 @@ def financial(d: Draw, n: int, as_of: str) -> dict[str, Column]:
         "transaction_id": d.uuid("transaction_id"),
         "account_id": F.concat(F.lit("ACC"), F.lpad(d.integer("account", 1, max(1, n // 20 - 1)).cast("string"), 8, "0")),
         "transaction_date": d.moment("transaction_date", _year_before(as_of), as_of),
-        "transaction_type": d.weighted("transaction_type", {"Deposit": 0.3, "Withdrawal": 0.3, "Transfer": 0.2, "Payment": 0.2}),
+        "transaction_type": d.weighted("transaction_type", MONEY_MOVES),
         "amount": F.round(d.lognormal("amount", 5, 2), 2),
         "balance_after": F.round(d.lognormal("balance_after", 8, 1), 2),
         "merchant": F.when(d.chance("merchant.known", 0.7), d.company("merchant")),
-        "category": d.choice("category", ["Food", "Transport", "Entertainment", "Bills", "Shopping", "Other"]),
+        "category": d.choice("category", SPENDING),
         "fraud_flag": d.chance("fraud_flag", 0.005).cast("int"),
     }
 
@@ -304,9 +324,9 @@ def iot(d: Draw, n: int, as_of: str) -> dict[str, Column]:
     return {
         "timestamp": F.timestamp_seconds(start + d.key * 60),
         "device_id": F.concat(F.lit("DEV"), F.lpad(d.integer("device", 1, 99).cast("string"), 4, "0")),
-        "sensor_type": d.choice("sensor_type", ["Temperature", "Humidity", "Pressure", "Motion"]),
+        "sensor_type": d.choice("sensor_type", SENSORS),
         "value": d.normal("value", 25, 5) + daily,
-        "unit": d.choice("unit", ["C", "%", "kPa", "boolean"]),
+        "unit": d.choice("unit", UNITS),
         "location": F.concat(F.lit("Zone-"), d.integer("location", 1, 9).cast("string")),
         "battery_level": d.real("battery_level", 0, 100),
         "signal_strength": d.real("signal_strength", -100, -30),
@@ -331,7 +351,7 @@ def generate_complexity(base: DataFrame, key: str, level: str, n: int, seed: int
     depth = LEVELS.index(level)
     df = base.select(
         F.col(key).alias("_k"), (d.key + 1).alias("id"), d.full_name("name").alias("name"), d.integer("age", 18, 79).alias("age"),
-        F.round(d.normal("salary", 50000, 15000), 2).alias("salary"), d.choice("department", ["Sales", "Engineering", "Marketing", "HR"]).alias("department"),
+        F.round(d.normal("salary", 50000, 15000), 2).alias("salary"), d.choice("department", TEAMS).alias("department"),
         d.date("joined_date", _year_before(as_of, 5), as_of).alias("joined_date"),
     )
     d = Draw(seed, F.col("_k"))
@@ -342,7 +362,7 @@ def generate_complexity(base: DataFrame, key: str, level: str, n: int, seed: int
             "experience_years": clip((F.col("age") - 22) * d.real("experience", 0.5, 0.8), 0.0, 40.0).cast("int"),
             "performance_score": d.beta("performance", 5, 2) * 100,
         })
-        level_edges = cut_labels(F.col("experience_years"), [0, 2, 5, 10, 40], ["Junior", "Mid", "Senior", "Lead"])
+        level_edges = cut_labels(F.col("experience_years"), GRADE_YEARS, GRADES)
         df = df.withColumns({
             "bonus": F.col("salary") * F.col("performance_score") / 100 * 0.2,
             # the first bin is open at 0, as no years is no level
