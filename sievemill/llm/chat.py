@@ -34,8 +34,10 @@ NAMED = {word: role for role, words in SPEAKERS.items() for word in words.split(
 _WORDS = "|".join(sorted(NAMED, key=len, reverse=True))
 #: a marker at the start of a line: a name between brackets or signs, or before a colon
 MARKER = re.compile(rf"^\s*(?:<\|(?:im_start\|>)?\s*({_WORDS})\b\s*(?:\|>)?|[\[({{]\s*({_WORDS})\s*[\])}}]\s*:?|(?:\#+|\*+|>+|-)?\s*({_WORDS})\s*\**\s*(?::|>|\s-\s)\**|\#+\s*({_WORDS})\s*$)\s*", re.I)
-#: log-chances of a line with the marker of its own role, of another role, and with none; and of a change of role inside a row
-OWN, OTHER, PLAIN, CHANGE = np.log(0.3), np.log(1e-9), np.log(0.6), np.log(1e-4)
+#: log-chances of a line with the marker of its own role, of another role, and with none
+OWN, OTHER, PLAIN = np.log(0.3), np.log(1e-9), np.log(0.6)
+#: chance of a change of role inside a row, at a line without and with a marker
+CHANGES = (1e-6, 1e-2)
 LENGTHS = 14
 BEGIN, END = "<|{}|>\n", "<|end|>\n"
 
@@ -92,10 +94,9 @@ def _emissions(lines, model: dict) -> np.ndarray:
     return out
 
 
-def _inside(n: int) -> np.ndarray:
-    step = np.full((n, n), CHANGE)
-    np.fill_diagonal(step, np.log1p(-(n - 1) * np.exp(CHANGE)))
-    return step
+def _inside(n: int) -> list[np.ndarray]:
+    """Log-chances from role to role inside a row, at a line without and with a marker."""
+    return [np.log(np.where(np.eye(n) > 0, 1 - (n - 1) * change, change)) for change in CHANGES]
 
 
 def _forward(score: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -107,8 +108,8 @@ def _row_scores(score: np.ndarray | None, lines, model: dict) -> np.ndarray:
     """Scores at the end of a row; ``score`` None begins a chain."""
     emit, inside = _emissions(lines, model), _inside(len(model["roles"]))
     score = (model["first"] if score is None else _forward(score, model["after"])) + emit[0]
-    for e in emit[1:]:
-        score = _forward(score, inside) + e
+    for (_, marker, _, _), e in zip(lines[1:], emit[1:]):
+        score = _forward(score, inside[marker is not None]) + e
     return score
 
 
@@ -123,7 +124,7 @@ def _decode(rows: list, model: dict, before: np.ndarray | None, after: np.ndarra
                 score = model["first"] + e
                 back.append(None)
                 continue
-            reach = score[:, None] + (model["after"] if i == 0 else inside)
+            reach = score[:, None] + (model["after"] if i == 0 else inside[lines[i][1] is not None])
             back.append(reach.argmax(axis=0))
             score = reach.max(axis=0) + e
             score -= score.max()
