@@ -13,7 +13,7 @@ from sievemill.functions import rng
 from sievemill.operators import ordered
 from sievemill.operators.profile import iqr_bounds, outside, value_counts
 from sievemill.operators.quantiles import exact_quantiles
-from sievemill.session import limit
+from sievemill.session import limit, stored
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -120,7 +120,9 @@ def fill_missing(
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(value).cast(kinds[c])) for c in targets})
     if strategy == "current_date":
         kinds = dict(df.dtypes)
-        today = F.to_date(F.lit(as_of)) if as_of is not None else F.current_date()
+        if as_of is None:
+            raise ValueError("current_date needs as_of: nothing here reads a clock")
+        today = F.to_date(F.lit(as_of))
         return df.withColumns({c: F.coalesce(F.col(c), today.cast(kinds[c])) for c in targets})
     if strategy == "random_range":
         ends = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in targets for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -371,7 +373,7 @@ def flag_anomalies(
         return df.withColumn(name, outside(F.col(column), iqr_bounds(df, [column], factor)[column]))
     if kind == "rare":
         n = df.select(column).where(F.col(column).isNotNull()).count()
-        few = value_counts(df, [column]).where(F.col("n") < rare * n).select(F.col("value").alias("_rare"))
+        few = stored(value_counts(df, [column]).where(F.col("n") < rare * n).select(F.col("value").alias("_rare")))
         joined = df.join(few, F.col(column).cast("string") == F.col("_rare"), "left")
         return joined.withColumn(name, F.col("_rare").isNotNull()).drop("_rare")
     if kind == "rolling":

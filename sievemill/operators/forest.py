@@ -14,8 +14,6 @@ from sievemill.functions import rng
 from sievemill.operators.quantiles import exact_quantiles
 from sievemill.session import cut, spread
 
-_POOL = 50_000
-
 
 def _average_path(n):
     """Mean path length of an unsuccessful search among ``n`` points."""
@@ -62,14 +60,21 @@ def isolation_forest(
     spark = df.sparkSession
     data = df.select(F.col(key).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     n = df.count()
-    # one hash per row picks a pool; only pool rows are offered to every tree
-    pool = data.where(rng.uniform(seed, "pool", "_key") < F.lit(min(1.0, _POOL / max(n, 1))))
-    per_tree = min(1.0, sample / max(1, min(n, _POOL)))
-    offered = spread(pool).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    # pool x trees draws: a 64-bit hash is enough here and far cheaper than a digest
+    per_tree = min(1.0, sample / max(1, n))
+    # each tree takes each row with the same chance, independently.  One draw per row gives the first tree that takes it
+    # (no tree for most rows of a large table); only the trees after that are drawn one by one
+    rows = spread(data.withColumn("_u", rng.uniform(seed, "pool", "_key")))
+    if per_tree < 1:
+        first = F.floor(F.log1p(-F.col("_u")) / F.lit(math.log1p(-per_tree))).cast("int")
+        rows = rows.where(F.col("_u") < F.lit(-math.expm1(trees * math.log1p(-per_tree)))).withColumn("_first", F.least(first, F.lit(trees - 1)))
+    else:
+        rows = rows.withColumn("_first", F.lit(0))
+    offered = rows.withColumn("tree", F.explode(F.sequence(F.col("_first"), F.lit(trees - 1))))
+    # a 64-bit hash is enough here and far cheaper than a digest
     draw = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_key").cast("string"))
     span = 1 << 53
-    picked = offered.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(span)) < F.lit(int(per_tree * span)))
+    taken = (F.col("tree") == F.col("_first")) | (F.pmod("_draw", F.lit(span)) < F.lit(int(per_tree * span)))
+    picked = offered.withColumn("_draw", draw).where(taken)
     height = math.ceil(math.log2(max(sample, 2)))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:

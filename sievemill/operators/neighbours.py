@@ -8,6 +8,7 @@ boxes and counts give a radius that surely holds k points, and leaves beyond it
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,9 +103,13 @@ def knn(
 ) -> DataFrame:
     """(test_key, prediction) by the k nearest train rows (Euclidean; the smaller train key on ties).
 
-    Classification takes the most frequent label, the smaller on ties; regression the mean.
+    Classification takes the most frequent label, the smaller on ties; regression the mean.  Train rows with a
+    null or NaN feature are left out; test rows with one are near nothing and get a null prediction.
     """
     cols = list(cols)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    unknown = test.where(~known).select(test_key)
+    train, test = train.where(known), test.where(known)
     merged = train.groupBy(*[F.col(c).cast("double").alias(c) for c in cols], F.col(label).alias("_label")).agg(
         F.count(F.lit(1)).alias("_weight"), F.min(train_key).alias("_first")
     )
@@ -149,7 +154,9 @@ def knn(
     used = near.withColumn("_used", F.least(F.col("_weight"), F.lit(k) - F.coalesce(before, F.lit(0)))).where(F.col("_used") > 0)
     if task == "regression":
         value = F.sum(F.col("_label") * F.col("_used")) / F.sum("_used")
-        return used.groupBy(F.col("_test").alias(test_key)).agg(value.alias("prediction"))
+        found = used.groupBy(F.col("_test").alias(test_key)).agg(value.alias("prediction"))
+        return found.unionByName(unknown.withColumn("prediction", F.lit(None).cast(found.schema["prediction"].dataType)))
     votes = used.groupBy("_test", "_label").agg(F.sum("_used").alias("_votes"))
     best = Window.partitionBy("_test").orderBy(F.desc("_votes"), F.asc("_label"))
-    return votes.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("_test").alias(test_key), F.col("_label").alias("prediction"))
+    found = votes.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("_test").alias(test_key), F.col("_label").alias("prediction"))
+    return found.unionByName(unknown.withColumn("prediction", F.lit(None).cast(found.schema["prediction"].dataType)))

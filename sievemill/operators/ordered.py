@@ -54,7 +54,7 @@ def ordered_scan(
     if biggest <= limit(spark, "sievemill.groupRows"):
         return df.withColumns(_local(part, order, sums, last, following, lag, number))
 
-    chunks = min(20_000, max(2, math.ceil(rows / limit(spark, "sievemill.chunkRows"))))
+    chunks = max(2, math.ceil(rows / limit(spark, "sievemill.chunkRows")))
     # the chunk number is written down with the rows: range bounds are sampled, so recomputing
     # them in the second pass could give another split
     rows_df = cut(
@@ -221,6 +221,8 @@ def ema(df: DataFrame, value: str, alpha: float, order: Sequence[str], part: Seq
     value of the block before it, so no task has to walk a whole group.
     """
     decay = 1.0 - alpha
+    if decay == 0:  # nothing earlier counts
+        return df.where(F.col(value).isNotNull()).withColumn("ema", F.col(value).cast("double"))
     block = max(8, math.ceil(math.log(1e-18) / math.log(decay)))
     part = list(part)
     rows = ordered_scan(df.where(F.col(value).isNotNull()), order, part, number="_n")

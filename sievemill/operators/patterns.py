@@ -322,8 +322,12 @@ def learn(df: DataFrame, threshold: float = 0.7) -> dict:
             first = step.select("gap", frequency_label(F.col("gap")).alias("frequency")).first()
             if first is not None:
                 p |= {"interval_seconds": first["gap"], "frequency": first["frequency"]}
+    # a ladder of literals holds the first ten; what has more is drawn from its whole frequency table
+    many = [c for c, p in patterns.items() if p["type"] == "categorical" and p["unique_count"] > len(p["top_categories"])]
+    counted = {c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")) for c in many}
     return {
         "patterns": patterns,
+        "frequencies": counted,
         "correlations": [(r["column_a"], r["column_b"], r["correlation"]) for r in strong],
         "dependencies": [(r["determinant"], r["dependent"]) for r in deps],
     }

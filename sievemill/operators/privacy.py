@@ -13,7 +13,7 @@ from sievemill.functions import columns as C
 from sievemill.functions import rng
 from sievemill.operators.ordered import ordered_scan
 from sievemill.operators.profile import value_counts
-from sievemill.session import limit
+from sievemill.session import stored
 
 # --- fixed values: name parts of personal, health and card columns ------------------------------
 PII_PARTS = ("name", "email", "phone", "address", "ssn", "dob")
@@ -88,7 +88,7 @@ def _generalize(df: DataFrame, cols: Sequence[str], k: int, bins: int, other: st
     for c in cols:
         if c in nums:
             continue
-        rare = value_counts(df, [c]).where(F.col("n") < k).select(F.col("value").alias("_rare"))
+        rare = stored(value_counts(df, [c]).where(F.col("n") < k).select(F.col("value").alias("_rare")))
         joined = df.join(rare, F.col(c).cast("string") == F.col("_rare"), "left")
         # the label is text, so a date column becomes text too
         df = joined.select(*[
@@ -134,7 +134,7 @@ def k_anonymize(df: DataFrame, k: int, qi: Sequence[str] | None = None) -> DataF
 def suppress(df: DataFrame, qi: Sequence[str], keep: Column) -> DataFrame:
     """Rows whose class satisfies the aggregate ``keep``.  Class sizes are combined map-side; the
     rows then meet a table with one row per class, so a class with a third of the rows can be split."""
-    classes = df.groupBy(*[F.col(c).alias(f"_q_{c}") for c in qi]).agg(keep.alias("_keep")).where("_keep")
+    classes = stored(df.groupBy(*[F.col(c).alias(f"_q_{c}") for c in qi]).agg(keep.alias("_keep")).where("_keep"))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in qi])
     return df.join(classes, on, "left_semi")
 
@@ -155,6 +155,7 @@ def t_close(df: DataFrame, qi: Sequence[str], sensitive: str, t: float) -> DataF
     # values a class lacks weigh 1 - sum(global share of those it has)
     distance = (F.sum(F.abs(F.col("_n") / F.col("_size") - F.col("_g"))) + 1 - F.sum("_g")) / 2
     near = joined.groupBy(*[f"_q_{c}" for c in qi]).agg(distance.alias("_t")).where(F.col("_t") <= t)
+    near = stored(near)
     return df.join(near, on, "left_semi")
 
 
@@ -184,7 +185,6 @@ def laplace_noise(
 def randomized_response(df: DataFrame, cols: Sequence[str] | None, epsilon: float, key: str, seed: int = 42) -> DataFrame:
     """Keep a category with probability e^eps / (e^eps + m - 1), else draw any of the m values."""
     cols = [c for c in (cols or C.string_columns(df)) if c != key]
-    small = limit(df.sparkSession, "sievemill.broadcastRows")
     for c in cols:
         domain = df.select(F.col(c).alias("_v")).where(F.col(c).isNotNull()).distinct()
         m = domain.count()
@@ -194,8 +194,6 @@ def randomized_response(df: DataFrame, cols: Sequence[str] | None, epsilon: floa
         swap = F.col(c).isNotNull() & (rng.uniform(seed, f"keep:{c}", key) > F.lit(keep))
         at = F.floor(rng.uniform(seed, f"draw:{c}", key) * F.lit(m)).cast("bigint") + 1
         numbered = ordered_scan(domain, ["_v"], number="_at")
-        if m <= small:
-            numbered = F.broadcast(numbered)
         joined = df.withColumn("_want", F.when(swap, at)).join(numbered, F.col("_want") == F.col("_at"), "left")
         df = joined.select(*[F.coalesce("_v", c).alias(c) if x == c else F.col(x) for x in df.columns])
     return df

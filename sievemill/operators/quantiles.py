@@ -47,11 +47,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 
 
 def _by_counting(values: DataFrame, n: int, probs: Sequence[float], bound: int) -> list[float]:
+    """Order as Spark's: minus infinity, numbers, infinity, NaN.  Only the numbers are narrowed."""
     ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    inf = float("inf")
+    finite = ~F.isnan("v") & (F.abs("v") < F.lit(inf))
+    ends = values.agg(
+        F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"), F.count_if(F.col("v") == F.lit(-inf)).alias("under"),
+        F.count_if(F.col("v") == F.lit(inf)).alias("over"), F.count_if(F.isnan("v")).alias("nan"),
+    ).first()
+    first, last = ends["under"], n - ends["nan"] - ends["over"]
+    found: dict[int, float] = {r: -inf if r < first else inf if r < n - ends["nan"] else float("nan") for r in ranks if not first <= r < last}
+    ranks = [r for r in ranks if r not in found]
+    values = values.where(finite)
     # bracket -> (rows below it, ranks wanted in it)
-    open_brackets = {(ends["lo"], ends["hi"]): (0, ranks)}
-    found: dict[int, float] = {}
+    open_brackets = {(ends["lo"], ends["hi"]): (first, ranks)} if ranks else {}
     few = min(bound, 10_000)
     while open_brackets:
         tagged, lo, width = None, None, None
@@ -89,8 +98,11 @@ def _by_counting(values: DataFrame, n: int, probs: Sequence[float], bound: int)
     out = []
     for p in probs:
         at = p * (n - 1)
-        a, b = found[math.floor(at)], found[math.ceil(at)]
-        out.append(a + (b - a) * (at - math.floor(at)))
+        a, b, share = found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)
+        if a == b or share == 0:
+            out.append(a)
+        else:
+            out.append(a + (b - a) * share if math.isfinite(b - a) else (1 - share) * a + share * b)
     return out
 
 

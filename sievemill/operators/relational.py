@@ -233,6 +233,12 @@ def retain(df: DataFrame, ts: str, days: int, as_of, done: Column | None = None)
     return df.where(~F.coalesce(drop, F.lit(False)))
 
 
+def retain_children(children: DataFrame, kept: DataFrame, on: str, parent_key: str | None = None) -> DataFrame:
+    """Rows whose parent survived; those of deleted parents, and orphans, go."""
+    parents = kept.select(F.col(parent_key or on).alias("_parent"))
+    return children.join(parents, F.col(on) == F.col("_parent"), "left_semi")
+
+
 def hours_in(text: str) -> int:
     """Hours in "24h", "7d" or "2w"; anything else means a day."""
     scale = {"h": 1, "d": 24, "w": 168}

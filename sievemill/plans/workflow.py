@@ -28,6 +28,7 @@ class CleaningConfig:
     template: str | None = None
     key: str | None = None
     remove_duplicates: bool = True
+    duplicate_columns: tuple[str, ...] | None = None
     validate_types: bool = True
     handle_missing: bool = True
     missing_strategy: str = "remove"
@@ -76,7 +77,8 @@ def _nulls(df: DataFrame) -> int:
 
 @_step("remove_duplicates")
 def _duplicates(df: DataFrame, cfg: CleaningConfig) -> tuple[DataFrame, int]:
-    cols = [c for c in df.columns if c != cfg.key]
+    """Rows equal in all columns, or in ``duplicate_columns`` where they are given."""
+    cols = [c for c in df.columns if cfg.duplicate_columns is None or c in cfg.duplicate_columns]
     removed = P.duplicate_count(df, cols).first()["duplicates"]
     return K.drop_duplicates(df, cols, [cfg.key] if cfg.key else ()), removed
 

@@ -158,7 +158,7 @@ def validate_csv_customer(t):
     select doc_id, lang, quality from j qualify row_number() over (partition by text, lang, quality order by doc_id) = 1""")
 def clean_basic_documents(t):
     df = t.documents.select("doc_id", "text", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    out, _ = W.clean(df, W.CleaningConfig(key="doc_id", validate_types=False), quality=False)
+    out, _ = W.clean(df, W.CleaningConfig(key="doc_id", validate_types=False, duplicate_columns=("text", "lang", "quality")), quality=False)
     return out.select("doc_id", "lang", "quality")
 
 

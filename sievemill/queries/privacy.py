@@ -110,15 +110,34 @@ def randomized_response_customer(t):
     return V.randomized_response(t.customer.select("c_custkey", "c_mktsegment"), ["c_mktsegment"], 1.0, "c_custkey")
 
 
-@query("compliance_hipaa_customer", """
+@query("compliance_healthcare_customer", """
     with c as (select c_nationkey, c_mktsegment, c_name, c_custkey from customer)
     select c_custkey, substr(sha256(c_name), 1, 8) as patient_name, c_mktsegment as gender, c_nationkey as diagnosis from c
     where c_mktsegment in (select c_mktsegment from c group by 1 having count(*) >= 5 and count(distinct c_nationkey) >= 3)""")
-def compliance_hipaa_customer(t):
+def compliance_healthcare_customer(t):
     made = t.customer.select("c_custkey", F.col("c_name").alias("patient_name"), F.col("c_mktsegment").alias("gender"), F.col("c_nationkey").alias("diagnosis"))
     return V.apply_compliance(made, ["healthcare"], qi=["gender"], sensitive="diagnosis")
 
 
+@query("compliance_hipaa_customer", f"""
+    with c as (select c_nationkey, c_mktsegment, c_name, c_custkey, ({_bits('laplace:cost')} + 0.5::double) / 4503599627370496.0::double - 0.5 as u,
+        c_acctbal, max(c_acctbal) over () - min(c_acctbal) over () as w from customer)
+    select c_custkey, substr(sha256(c_name), 1, 8) as patient_name, c_mktsegment as gender, 'D' || c_nationkey as diagnosis,
+      round(c_acctbal - w / 1.0 * sign(u) * ln(1 - 2 * abs(u)), 4) as cost from c
+    where c_mktsegment in (select c_mktsegment from c group by 1 having count(*) >= 5 and count(distinct c_nationkey) >= 3)""")
+def compliance_hipaa_customer(t):
+    made = t.customer.select("c_custkey", F.col("c_name").alias("patient_name"), F.col("c_mktsegment").alias("gender"),
+                             F.concat(F.lit("D"), F.col("c_nationkey")).alias("diagnosis"), F.col("c_acctbal").alias("cost"))
+    return rounded(V.apply_compliance(made, ["hipaa"], qi=["gender"], sensitive="diagnosis", key="c_custkey"), "cost")
+
+
+@query("compliance_gdpr_customer", """
+    select c_custkey, substr(sha256(c_name), 1, 8) as c_name, c_mktsegment from customer
+    where c_mktsegment in (select c_mktsegment from customer group by 1 having count(*) >= 5)""")
+def compliance_gdpr_customer(t):
+    return V.apply_compliance(t.customer.select("c_custkey", "c_name", "c_mktsegment"), ["gdpr"], qi=["c_mktsegment"])
+
+
 @query("privacy_switchboard_customer", """
     with c as (select c_nationkey, c_mktsegment, c_name, c_custkey from customer)
     select c_custkey, substr(sha256(c_name), 1, 8) as c_name, c_mktsegment, c_nationkey from c

@@ -90,6 +90,14 @@ def retention_orders(t):
     return R.retain(t.orders, "o_orderdate", 365, "1999-01-01", F.col("o_orderstatus") == "F").select("o_orderkey")
 
 
+@query("retention_lines", """
+    select l_orderkey, l_linenumber from lineitem where l_orderkey in (
+      select o_orderkey from orders where not (o_orderdate < timestamp '1999-01-01' - interval 365 days and o_orderstatus = 'F'))""")
+def retention_lines(t):
+    kept = R.retain(t.orders, "o_orderdate", 365, "1999-01-01", F.col("o_orderstatus") == "F")
+    return R.retain_children(t.lineitem, kept, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
 @query("archive_orders", """
     select o_orderkey from orders where o_orderstatus <> 'archive' and datediff('day', o_orderdate::date, date '1999-01-01') > 30 + o_custkey % 900""")
 def archive_orders(t):

@@ -196,7 +196,7 @@ def _generated(name, base, industry):
     @query(name)
     def run(t):
         keys = base(t)
-        return T.generate_template(keys, "k", industry, 1000)
+        return T.generate_template(keys, "k", industry, keys.count())
     return run
 
 
@@ -227,7 +227,7 @@ def gen_iot(t):
 for _name, _table, _key in (("ecommerce", "orders", "o_orderkey"), ("healthcare", "customer", "c_custkey"), ("financial", "orders", "o_orderkey")):
     def _domain(t, name=_name, table=_table, key=_key):
         base = getattr(t, table).select(F.col(key).alias("k"))
-        return T.generate_domain(base, "k", name, 10000)
+        return T.generate_domain(base, "k", name, base.count())
 
     query(f"gen_domain_{_name}")(_domain)
 
@@ -245,7 +245,15 @@ def gen_very_complex(t):
     return made.withColumn("vector_size", F.size("image_embedding")).drop("image_embedding", "metadata")
 
 
-@query("gen_sentiment")
+def _sentiment():
+    first = pick("comment.mood", list(T.MOODS), "c_custkey")
+    word = "case " + " ".join(f"when {first} = '{m}' then {pick(f'comment.{m}', words, 'c_custkey')}" for m, words in T.MOODS.items()) + " end"
+    told = [pick(f"comment.{i}.word", D.WORDS, "c_custkey") for i in range(10)]
+    title = lambda x: f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+    return f"select c_custkey as k, {title('(' + word + ')')} || '! ' || {title(told[0])} || ' ' || concat_ws(' ', {', '.join(told[1:])}) || '.' as comment from customer"
+
+
+@query("gen_sentiment", _sentiment())
 def gen_sentiment(t):
     d = draws(t)
     return t.customer.select(F.col("c_custkey").alias("k")).select("k", T.gen_sentiment(d, "comment").alias("comment"))

@@ -8,6 +8,7 @@ form runs that splits the group.  The limits are session settings, so tests can
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    Like a checkpoint this ends the lineage.  Unlike one it forgets how rows were dealt out, so a later join
+    shuffles both its sides and adaptive execution may split their large partitions.  A table that is joined with
+    its own aggregate takes the aggregate through here.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Few but costly rows dealt out over all cores, by a hash of ``cols`` (else of nothing, in turn).
 

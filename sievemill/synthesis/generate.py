@@ -102,9 +102,10 @@ def generate(
     """Rows with the learned patterns.  ``base`` holds the row keys (see :func:`draw.rows`).
 
     Column expressions only, so the job is one narrow stage.  ``many`` gives a frequency table
-    (value, n) for categories too numerous for a literal ladder.
+    (value, n) for categories too numerous for a literal ladder; those that were learned are used without it.
     """
     patterns = learned["patterns"]
+    many = {**learned.get("frequencies", {}), **(many or {})}
     d, out = Draw(seed, F.col(key)), {}
     for c, p in patterns.items():
         if p["type"] in GENERATORS:
@@ -112,7 +113,7 @@ def generate(
         else:
             out[c] = F.lit(None).cast("string")
     df = base.select(F.col(key).alias("_key"), *[e.alias(c) for c, e in out.items()])
-    for c, table in (many or {}).items():
+    for c, table in many.items():
         df = draw_from_table(df, c, table, "_key", seed)
     if relationships:
         pairs = learned.get("correlations", [])
@@ -121,7 +122,7 @@ def generate(
         tied = {frozenset(p[:2]) for p in pairs}
         for a, b in learned.get("dependencies", []):
             if a in df.columns and b in df.columns and frozenset((a, b)) not in tied:
-                df = df.withColumn(b, gen_dependent(a, b, patterns[b], seed))
+                df = draw_from_table(df, b, many[b], a, seed) if b in many else df.withColumn(b, gen_dependent(a, b, patterns[b], seed))
     if missing is not None:
         df = inject_missing(df, {c: min(p.get("missing_rate", 0.0), missing) for c, p in patterns.items()}, "_key", seed)
     if outliers is not None:

@@ -102,11 +102,15 @@ def _days_ago(d: Draw, name: str, days: int, as_of: str) -> Column:
 
 
 def business_moment(d: Draw, name: str, as_of: str) -> Column:
-    """Timestamp of the last year: most weekend days move back one or two days, hours peak at 14."""
+    """Timestamp of the last year: most weekend days move back one or two days, hours peak at 14.
+
+    A day that is not moved stays, so 30 % of Saturdays do.  Two moves at most can happen: Sunday, Saturday, weekday.
+    """
     day = _days_ago(d, f"{name}.day", 365, as_of)
-    for i in range(3):
-        moved = F.date_sub(day, d.integer(f"{name}.back{i}", 1, 2).cast("int"))
-        day = F.when((F.weekday(day) >= 5) & d.chance(f"{name}.move{i}", 0.7), moved).otherwise(day)
+    going = F.lit(True)
+    for i in range(2):
+        going = going & (F.weekday(day) >= 5) & d.chance(f"{name}.move{i}", 0.7)
+        day = F.when(going, F.date_sub(day, d.integer(f"{name}.back{i}", 1, 2).cast("int"))).otherwise(day)
     hour = d.normal(f"{name}.hour", 14, 4, 0, 23).cast("int")
     minute = d.integer(f"{name}.minute", 0, 59).cast("int")
     return F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + hour * 3600 + minute * 60)

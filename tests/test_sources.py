@@ -77,7 +77,7 @@ def test_validation_counts_broken_rows(spark):
 def test_workflow_tiers(spark):
     rows = [(i, f" User{i} ", f"u{i}@X.com", float(i % 17) if i % 9 else None, f"{i} Main St", "4111111111111111") for i in range(60)] + [(60, " User1 ", "u1@X.com", 1.0, "1 Main St", "4111111111111111")]
     df = spark.createDataFrame(rows, "id long, name string, mail string, v double, address string, card string")
-    cfg = W.CleaningConfig(tier="ai-powered", key="id", missing_strategy="mean", smart_column_mapping=True, data_enrichment=True, address_correction=True,
+    cfg = W.CleaningConfig(tier="ai-powered", key="id", duplicate_columns=("name", "mail", "v", "address", "card"), missing_strategy="mean", smart_column_mapping=True, data_enrichment=True, address_correction=True,
                            predictive_quality=True, pci_compliant=True, gdpr_compliant=True, constraints={"small": F.col("v") < 16})
     out, report = W.clean(df, cfg)
     log = {r["operation"]: r["records_affected"] for r in report.collect()}
