@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sievemill.session import shared_dir
 
 #: bytes of text that one step of a task handles at once; a single longer text is a step of its own
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def worker_store() -> dict:
