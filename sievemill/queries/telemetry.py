@@ -7,7 +7,7 @@ from sievemill.operators import clean as K
 from sievemill.operators.relational import slow
 from sievemill.plans.rules import parse_rule
 from sievemill.queries.profiling import rounded
-from sievemill.queries.registry import query
+from sievemill.queries.registry import ORACLES, query
 from sievemill.streaming import batches as B
 from sievemill.streaming import logs as L
 from sievemill.streaming import metrics as M
@@ -56,7 +56,10 @@ def parse_logs(t):
 
 def entries(t):
     """Events as parsed log entries."""
-    e = t.events
+    return entries_of(t.events)
+
+
+def entries_of(e):
     return e.select("event_id", F.col("ts"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
                     F.when(F.col("user_id") % 2 == 0, "security").otherwise("application").alias("source"), F.col("event_type").alias("service"),
                     F.when(F.col("event_type") == "error", F.concat(F.lit("E"), (F.col("user_id") % 13).cast("string"))).alias("error_type"),
@@ -292,3 +295,72 @@ def stream_active_users(t):
     """Approximate distinct users per day."""
     out = S.run_to_end(L.active_users(event_stream(t), 24, exact=False), "complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "active_users")
+
+
+# --- watches over a stream of entries --------------------------------------------------------------
+
+
+@query("stream_error_surge", ORACLES["error_surge"])
+def stream_error_surge(t):
+    out = B.surges_by_batch(entries_of(event_stream(t)), 8, 7200)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_brute_force", ORACLES["brute_force"])
+def stream_brute_force(t):
+    out = B.brute_force_by_batch(entries_of(event_stream(t)), 20, 10800)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_volume_anomaly", """
+    with r as (select time_bucket(interval 30 minutes, ts) as window_start, count(*) / 30.0 as rate from events group by 1)
+    select window_start, round(rate, 6) as rate, case when rate > 0.36 then 'high' else 'low' end as anomaly from r
+    where (rate > 0.36 or rate < 0.012) and window_start + interval 30 minutes <= (select max(ts) from events) - interval 1 hour""")
+def stream_volume_anomaly(t):
+    out = S.run_to_end(L.volume_anomaly(entries_of(event_stream(t)), 0.12, 30, "1 hour"))
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "rate", n=6)
+
+
+def cells(t):
+    """Closed cells of the stream of entries."""
+    return S.run_to_end(L.log_cells(entries_of(event_stream(t)), "10 minutes"))
+
+
+_CLOSED = f"""with w(win, secs) as (values ('5m', 300), ('1h', 3600), ('24h', 86400)),
+    e as (select win as "window", event_id, ts, event_type, user_id, value from events, w where ts < timestamp '{AS_OF}' and ts >= timestamp '{AS_OF}' - to_seconds(secs)
+      and date_trunc('minute', ts) + interval 1 minute <= (select max(ts) from events) - interval 10 minutes)"""
+
+
+@query("stream_log_stats", _CLOSED + ORACLES["log_stats"][len(_WINDOWED):])
+def stream_log_stats(t):
+    return rounded(rounded(L.stats_of_cells(cells(t), AS_OF), "avg_duration_ms"), "error_rate", n=6)
+
+
+@query("stream_log_counts", _CLOSED + ORACLES["log_counts"][len(_WINDOWED):])
+def stream_log_counts(t):
+    return L.counts_of_cells(cells(t), AS_OF)
+
+
+@query("stream_error_patterns", """
+    select 'E' || (user_id % 13) as error_type, count(*) as n from events
+    where event_type = 'error' and date_trunc('day', ts) + interval 1 day <= (select max(ts) from events where event_type = 'error') - interval 1 hour group by 1 order by n desc, 1 limit 10""")
+def stream_error_patterns(t):
+    """Most frequent error types of all closed days."""
+    errors = entries_of(event_stream(t)).where("level = 'ERROR'")
+    daily = S.run_to_end(L.windowed_counts(errors, "1 day", watermark="1 hour", by=["error_type"]))
+    return daily.groupBy("error_type").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("error_type")).limit(10)
+
+
+@query("stream_metric_rollups", _POINTS + """
+    , w(size, secs) as (values ('1m', 60), ('5m', 300), ('15m', 900), ('1h', 3600), ('24h', 86400)),
+    k as (select * from p where name <> 'unregistered.metric'), x as (select *, time_bucket(to_seconds(secs), ts) as window_start from k, w)
+    select size, name, window_start, count(*) as count, round(avg(value), 9) as avg, min(value) as min, max(value) as max from x
+    where window_start + to_seconds(secs) <= (select max(ts) from p) - interval 10 minutes group by all""")
+def stream_metric_rollups(t):
+    """Closed windows of every size, one stream each."""
+    defs, out = M.definitions(t.spark), None
+    for size, seconds in M.WINDOWS.items():
+        one = S.run_to_end(M.rollup_metrics(points(event_stream(t)), defs, f"{seconds} seconds", watermark="10 minutes"))
+        one = one.select(F.lit(size).alias("size"), "name", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "count", "avg", "min", "max")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "avg", n=9)

@@ -187,6 +187,10 @@ STAT_WINDOWS = {"5m": 300, "1h": 3600, "24h": 86400}
 # -----------------------------------------------------------------------------------------------
 
 
+#: what entries are counted by
+DIMENSIONS = {"level": "level", "source": "source", "service": "service", "error_type": "error_type", "user_id": "user_id"}
+
+
 def log_stats(logs: DataFrame, as_of, windows: dict[str, int] = STAT_WINDOWS) -> DataFrame:
     """One row per trailing window: total, errors, error rate, mean duration."""
     return _in_windows(logs, as_of, windows).groupBy("window").agg(
@@ -200,16 +204,59 @@ def log_counts(logs: DataFrame, as_of, windows: dict[str, int] = STAT_WINDOWS, t
 
     All five groupings share one shuffle of (window, dimension, value) counts.
     """
-    dims = {"level": "level", "source": "source", "service": "service", "error_type": "error_type", "user_id": "user_id"}
     long = _in_windows(logs, as_of, windows).select(
-        "window", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in dims.items()])).alias("x")
+        "window", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in DIMENSIONS.items()])).alias("x")
     ).select("window", "x.*").where(F.coalesce(F.col("value"), F.lit("")) != "")
     counted = long.groupBy("window", "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _listed(counted, top)
+
+
+def _listed(counted: DataFrame, top: int) -> DataFrame:
+    """All levels, sources and services, and the most frequent error types and users."""
     w = Window.partitionBy("window", "dimension").orderBy(F.desc("n"), F.asc("value"))
     listed = counted.where(F.col("dimension").isin("error_type", "user_id")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
     return counted.where(~F.col("dimension").isin("error_type", "user_id")).unionByName(listed)
 
 
+def log_cells(logs: DataFrame, watermark: str = "10 minutes", every: str = "1 minute") -> DataFrame:
+    """Counts per small event-time window, dimension and value, from which any trailing window is summed up.
+
+    On a stream a window's cells come out once the watermark has passed its end, and leave the state then.  The
+    dimension ``all`` holds every entry by its level, with the sum and number of its durations.
+    """
+    timed = logs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    cell = [F.struct(F.lit("all").alias("dimension"), F.coalesce("level", F.lit("")).alias("value"))]
+    cell += [F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in DIMENSIONS.items()]
+    long = timed.select("ts", F.when(F.col("duration_ms") > 0, F.col("duration_ms")).alias("ms"), F.explode(F.array(*cell)).alias("x"))
+    long = long.where((F.col("x.dimension") == "all") | (F.coalesce("x.value", F.lit("")) != ""))
+    counted = long.groupBy(F.window("ts", every).alias("w"), "x.dimension", "x.value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), F.count("ms").alias("n_ms")
+    )
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "dimension", "value", "n", "ms", "n_ms")
+
+
+def _cells_in_windows(cells: DataFrame, as_of, windows: dict[str, int]) -> DataFrame:
+    """Cells that lie within each trailing window that ends at ``as_of``, that moment itself left out."""
+    end = _moment(as_of).cast("timestamp")
+    age = F.unix_micros(end) - F.unix_micros("window_start")
+    names = F.filter(F.array(*[F.when(age <= s * 1_000_000, F.lit(n)) for n, s in windows.items()]), lambda x: x.isNotNull())
+    return cells.where(F.col("window_end") <= end).withColumn("window", F.explode(names))
+
+
+def stats_of_cells(cells: DataFrame, as_of, windows: dict[str, int] = STAT_WINDOWS) -> DataFrame:
+    """``log_stats`` from cells; ``as_of`` is a moment at which a cell ends."""
+    n_errors = F.when(F.col("value").isin("ERROR", "CRITICAL"), F.col("n")).otherwise(0)
+    return _cells_in_windows(cells.where("dimension = 'all'"), as_of, windows).groupBy("window").agg(
+        F.sum("n").alias("total"), F.sum(n_errors).alias("errors"), (F.sum("ms") / F.sum("n_ms")).alias("avg_duration_ms"),
+    ).withColumn("error_rate", F.col("errors") / F.col("total"))
+
+
+def counts_of_cells(cells: DataFrame, as_of, windows: dict[str, int] = STAT_WINDOWS, top: int = 5) -> DataFrame:
+    """``log_counts`` from cells; ``as_of`` is a moment at which a cell ends."""
+    inside = _cells_in_windows(cells.where("dimension <> 'all'"), as_of, windows)
+    return _listed(inside.groupBy("window", "dimension", "value").agg(F.sum("n").alias("n")), top)
+
+
 def _in_windows(logs: DataFrame, as_of, windows: dict[str, int]) -> DataFrame:
     end = _moment(as_of)
     age = F.unix_micros(end) - F.unix_micros(F.col("ts").cast("timestamp"))
@@ -227,18 +274,23 @@ def trailing_counts(events: DataFrame, ts: str, seconds: int, part: Sequence[str
     these changes is the trailing count.  Events of one moment are combined first, and a key with
     most of the events is scanned in chunks.
     """
-    micros = events.select(*part, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
-    counted = micros.groupBy(*part, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    micros = events.select(*part, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    counted = micros.groupBy(*part, "at").agg(F.count(F.lit(1)).alias("n"))
+    return trailing_sums(counted, seconds, part).select(*part, F.timestamp_micros("at").alias(ts), "events", "recent")
+
+
+def trailing_sums(counted: DataFrame, seconds: int, part: Sequence[str] = ()) -> DataFrame:
+    """``trailing_counts`` from the number ``n`` of events per key and moment ``at`` (microseconds)."""
     change = counted.select(
         *part,
         F.explode(F.array(
-            F.struct(F.col("_at").alias("at"), F.col("_n").alias("d"), F.col("_n").alias("n")),
-            F.struct((F.col("_at") + seconds * 1_000_000).alias("at"), (-F.col("_n")).alias("d"), F.lit(0).cast("bigint").alias("n")),
+            F.struct("at", F.col("n").alias("d"), "n"),
+            F.struct((F.col("at") + seconds * 1_000_000).alias("at"), (-F.col("n")).alias("d"), F.lit(0).cast("bigint").alias("n")),
         )).alias("x"),
     ).select(*part, "x.*")
     net = change.groupBy(*part, "at").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     summed = ordered_scan(net, ["at"], part, sums={"recent": F.col("d")})
-    return summed.where(F.col("n") > 0).select(*part, F.timestamp_micros("at").alias(ts), F.col("n").alias("events"), "recent")
+    return summed.where(F.col("n") > 0).select(*part, "at", F.col("n").alias("events"), "recent")
 
 
 def error_surge(logs: DataFrame, n: int = 10, seconds: int = 60) -> DataFrame:
@@ -261,9 +313,13 @@ def brute_force(logs: DataFrame, n: int = 5, seconds: int = 300) -> DataFrame:
     return busy.join(starts, ["ip_address", "ts"], "left_semi")
 
 
-def volume_anomaly(logs: DataFrame, expected: float, minutes: int = 5) -> DataFrame:
-    """Windows whose rate per minute is over 3 x or under 0.1 x the expected rate."""
-    rates = logs.groupBy(F.window(F.col("ts").cast("timestamp"), f"{minutes} minutes").alias("w")).agg(
+def volume_anomaly(logs: DataFrame, expected: float, minutes: int = 5, watermark: str | None = None) -> DataFrame:
+    """Windows whose rate per minute is over 3 x or under 0.1 x the expected rate; with a watermark, closed windows
+    of a stream."""
+    timed = logs.withColumn("ts", F.col("ts").cast("timestamp"))
+    if watermark:
+        timed = timed.withWatermark("ts", watermark)
+    rates = timed.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(
         (F.count(F.lit(1)) / minutes).alias("rate")
     )
     kind = F.when(F.col("rate") > expected * 3, "high").when(F.col("rate") < expected * 0.1, "low")

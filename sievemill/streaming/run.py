@@ -24,13 +24,15 @@ def stream_lines(spark: SparkSession, folder: str, pattern: str = "*", files_per
     return reader.text(folder)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", partition_by: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", partition_by: str | None = None, home: str | None = None) -> DataFrame:
     """Run a stream over everything available and read back what it wrote.
 
-    Output and checkpoint lie in the shared folder.  ``complete`` keeps the last full result.
+    Output and checkpoint lie in ``home``, a folder that all executors share (none given: a new one in the shared
+    folder).  A later run with the same ``home`` goes on where the one before ended, with its state.
+    ``complete`` keeps the last full result.
     """
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = home or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{home}/out"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{home}/checkpoint")
     if mode == "append":

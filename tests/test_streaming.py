@@ -183,3 +183,52 @@ def test_active_users_are_close(spark, pieces, events):
     got = S.run_to_end(L.active_users(stream(spark, pieces), 24, exact=False), "complete").toPandas().set_index("window_start")["active_users"]
     want = L.active_users(events, 24).toPandas().set_index("window_start")["active_users"]
     assert (pd.Series(got).sort_index() - want.sort_index()).abs().max() <= 2
+
+
+def _moments(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_watches_by_batch_equal_batch(spark, pieces, events):
+    logs, flow = Q.entries_of(events), Q.entries_of(stream(spark, pieces))
+    want = L.error_surge(logs, 1, 7200).select("ts", "events", "recent")
+    assert _moments(B.surges_by_batch(flow, 1, 7200).select("ts", "events", "recent")) == _moments(want) != []
+    cols = ["ip_address", "ts", "events", "recent"]
+    assert _moments(B.brute_force_by_batch(flow, 3, 86400).select(cols)) == _moments(L.brute_force(logs, 3, 86400).select(cols)) != []
+
+
+def _entry_file(spark, home, seconds):
+    df = spark.createDataFrame([("ERROR", s) for s in seconds], "level string, s long").select("level", F.timestamp_seconds("s").alias("ts"))
+    df.coalesce(1).write.mode("append").parquet(home)
+
+
+def test_surges_after_a_restart_and_with_late_events(spark):
+    src, home = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
+    flow = lambda: spark.readStream.schema("level string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    run = lambda: {int(r["ts"].timestamp()): (r["events"], r["recent"]) for r in B.surges_by_batch(flow(), 0, 60, 20, home).collect()}
+    _entry_file(spark, src, [0, 100, 130])
+    assert run() == {0: (1, 1), 100: (1, 1), 130: (1, 2)}
+    # 120 is late but counts, and corrects 130; 50 is too late
+    _entry_file(spark, src, [120, 50, 150])
+    assert run() == {0: (1, 1), 100: (1, 1), 120: (1, 2), 130: (1, 3), 150: (1, 4)}
+    assert run()[150] == (1, 4)  # nothing new
+
+
+def test_stream_goes_on_in_its_folder(spark):
+    src, home = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
+    flow = lambda: spark.readStream.schema("level string, ts timestamp").parquet(src)
+    count = lambda: S.run_to_end(L.windowed_counts(flow(), "1 minute"), "complete", home=home).agg(F.sum("n")).first()[0]
+    _entry_file(spark, src, [0, 1])
+    assert count() == 2
+    _entry_file(spark, src, [2])
+    assert count() == 3
+
+
+def test_cells_sum_up_to_the_trailing_windows(spark, pieces, events):
+    as_of = "2024-01-20 12:00:00"
+    logs = Q.entries_of(events).where(F.col("ts") != F.lit(as_of).cast("timestamp_ntz"))
+    cells = S.run_to_end(L.log_cells(Q.entries_of(stream(spark, pieces)).where(F.col("ts") != F.lit(as_of).cast("timestamp_ntz"))))
+    key = ["window", "total", "errors"]
+    assert _moments(L.stats_of_cells(cells, as_of).select(key)) == _moments(L.log_stats(logs, as_of).select(key)) != []
+    key = ["window", "dimension", "value", "n"]
+    assert _moments(L.counts_of_cells(cells, as_of).select(key)) == _moments(L.log_counts(logs, as_of).select(key)) != []
