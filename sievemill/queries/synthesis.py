@@ -37,6 +37,72 @@ def integer(stream, low, high, key="k"):
     return f"({low} + floor({u(stream, key)} * {high - low + 1}))::bigint"
 
 
+def choose(stream, weights, key="k"):
+    """A value by weight."""
+    total, acc, tests, items = float(sum(weights.values())), 0.0, [], list(weights.items())
+    for value, weight in items[:-1]:
+        acc += weight / total
+        tests.append(f"when {u(stream, key)} < {acc!r}::double then '{value}'")
+    return f"(case {' '.join(tests)} else '{items[-1][0]}' end)"
+
+
+def days_ago(stream, days, as_of="2024-01-01"):
+    return f"(date '{as_of}' - floor({u(stream)} * {days + 1})::int)"
+
+
+def code(stream, prefix, n):
+    return f"'{prefix}' || upper(substr(md5('42:{stream}:' || k), 1, {n}))"
+
+
+def digits(stream, n):
+    return f"lpad(floor({u(stream + '#0')} * {10 ** n}::double)::bigint::varchar, {n}, '0')"
+
+
+def full_name(stream):
+    return f"{pick(stream + '.first', D.FIRST_NAMES)} || ' ' || {pick(stream + '.last', D.LAST_NAMES)}"
+
+
+def city_state(stream):
+    return f"{pick(stream + '.city', D.CITIES)} || ', ' || {pick(stream + '.state', D.STATES)}"
+
+
+def address(stream):
+    return f"{integer(stream + '.no', 1, 999)} || ' ' || {pick(stream + '.street', D.STREETS)} || ', ' || {city_state(stream)} || ' ' || {digits(stream + '.zip', 5)}"
+
+
+def clipped(x, low, high):
+    return f"least(greatest({x}, {low}), {high})"
+
+
+def lognormal(stream, mu, sigma):
+    return f"exp({mu} + {sigma}::double * {normal(stream)})"
+
+
+def beta(stream, a, b_):
+    return f"list_sort([{', '.join(u(f'{stream}#{i}') for i in range(a + b_ - 1))}])[{a}]"
+
+
+def trials(stream, p):
+    return f"greatest(ceil(ln({uo(stream)}) / ln(1.0::double - {p}::double)), 1)::bigint"
+
+
+def moment(stream, start, seconds):
+    return f"to_timestamp({start} + floor({u(stream)} * {seconds}))::timestamp"
+
+
+def member(stream, high):
+    """A number from 1 to ``high``, which is SQL."""
+    return f"(1 + floor({u(stream)} * ({high})))::bigint"
+
+
+def titled(x):
+    return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+
+
+def plain_times(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+
 def draws(t):
     return D.Draw(42, F.col("k"))
 
@@ -192,18 +258,48 @@ def gen_healthcare(t):
                        F.datediff("discharge_date", "admission_date").cast("bigint").alias("stay"))
 
 
-def _generated(name, base, industry):
-    @query(name)
+def _generated(name, base, industry, sql=None):
+    @query(name, sql)
     def run(t):
         keys = base(t)
-        return T.generate_template(keys, "k", industry, keys.count())
+        return plain_times(T.generate_template(keys, "k", industry, keys.count()))
     return run
 
 
-_generated("gen_finance", lambda t: t.orders.select(F.col("o_orderkey").alias("k")), "finance")
-_generated("gen_retail", lambda t: t.orders.select(F.col("o_orderkey").alias("k")), "retail")
-_generated("gen_manufacturing", lambda t: t.part.select(F.col("p_partkey").alias("k")), "manufacturing")
-_generated("gen_insurance", lambda t: t.customer.select(F.col("c_custkey").alias("k")), "insurance")
+def _business_day(day, i):
+    """A weekend day moved back, unless a move before failed."""
+    return f"""select * replace (went and isodow({day}) >= 6 and {u(f'transaction_datetime.move{i}')} < 0.7::double as went,
+      case when went and isodow({day}) >= 6 and {u(f'transaction_datetime.move{i}')} < 0.7::double then {day} - {integer(f'transaction_datetime.back{i}', 1, 2)}::int else {day} end as day)"""
+
+
+_generated("gen_finance", lambda t: t.orders.select(F.col("o_orderkey").alias("k")), "finance", f"""
+    with d0 as (select k, true as went, {days_ago('transaction_datetime.day', 365)} as day from (select o_orderkey as k from orders)),
+      d1 as ({_business_day('day', 0)} from d0), d2 as ({_business_day('day', 1)} from d1), x as (select *, {digits('account_number', 9)} as nine from d2)
+    select k, {code('transaction_id', 'TXN', 12)} as transaction_id, nine || (list_sum(list_transform(string_split(nine, ''), lambda z: z::int)) % 10)::int as account_number,
+      {full_name('customer_name')} as customer_name,
+      round(least(case when {u('amount.kind')} < 0.8::double then {lognormal('amount.small', 3, 1)} else {lognormal('amount.large', 6, 0.8)} end, 10000), 2) as transaction_amount,
+      day::timestamp + to_hours(trunc({clipped('14 + 4 * ' + normal('transaction_datetime.hour'), 0, 23)})::int) + to_minutes({integer('transaction_datetime.minute', 0, 59)}::int) as transaction_datetime,
+      {choose('transaction_type', T.TRANSACTION_TYPES)} as transaction_type, {pick('merchant_name', [v for vs in T.MERCHANTS.values() for v in vs])} as merchant_name,
+      {choose('merchant_category', dict(zip(T.MERCHANTS, T.MERCHANT_WEIGHTS)))} as merchant_category,
+      round(least((pow(1.0::double - {u('balance_after')}, -1.0::double / 1.16) - 1) * 1000, 1000000), 2) as balance_after, {city_state('location')} as location from x""")
+_generated("gen_retail", lambda t: t.orders.select(F.col("o_orderkey").alias("k")), "retail", f"""
+    with r as (select k, {code('order_id', 'ORD', 10)} as order_id,
+      'CUST' || lpad(floor(pow({u('customer_id')}, 3) * greatest(1, (select count(*) from orders) // 3))::bigint::varchar, 8, '0') as customer_id, {full_name('customer_name')} as customer_name,
+      lower({pick('customer_email.first', D.FIRST_NAMES)}) || '.' || lower({pick('customer_email.last', D.LAST_NAMES)}) || k || '@' || {pick('customer_email.dom', D.DOMAINS)} as customer_email,
+      {pick('sku', T.SKU_PREFIXES)} || '-' || {integer('sku.no', 1000, 9999)} as product_id,
+      round({clipped(f"floor({lognormal('price', 3.5, 1.2)}) + {pick('price.ending', [str(x) for x in T.PRICE_ENDINGS])}::double", 0.99, 999.99)}, 2) as price,
+      least({trials('quantity', 0.6)}, 20) as quantity, {choose('category', {c: 1 / (i + 1) for i, c in enumerate(T.PRODUCTS)})} as category, {days_ago('order_date.day', 365)} as day,
+      {address('shipping_address')} as shipping_address, {choose('payment_method', T.PAYMENT_METHODS)} as payment_method from (select o_orderkey as k from orders))
+    select r.* exclude (day), {pick('lookup.product_name', [v for vs in T.PRODUCTS.values() for v in vs], 'product_id')} as product_name, round(price * quantity, 2) as total,
+      case when month(day) in (11, 12) and {u('order_date.holiday')} < 0.3::double then make_date(year(day), 11, {integer('order_date.surge', 24, 30)}) else day end as order_date from r""")
+_generated("gen_manufacturing", lambda t: t.part.select(F.col("p_partkey").alias("k")), "manufacturing", f"""
+    select k, 'PRT-' || {integer('part', 1000, 9999)} || '-' || {pick('part.end', T.PART_SUFFIXES)} as part_number, trunc(greatest(500 + 150 * {normal('stock')}, 0))::int as stock_quantity,
+      round(least(greatest(99.7 + 0.3 * {normal('quality')}, 95), 100), 2) as quality_score, {choose('supplier', {f"Supplier {chr(65 + i)}": w for i, w in enumerate(T.SUPPLIER_WEIGHTS)})} as supplier,
+      {days_ago('production_date', 365)} as production_date from (select p_partkey as k from part)""")
+_generated("gen_insurance", lambda t: t.customer.select(F.col("c_custkey").alias("k")), "insurance", f"""
+    select k, {code('policy_number', 'POL', 10)} as policy_number, round(least({lognormal('claim_amount', 7.5, 1.8)}, 1000000), 2) as claim_amount,
+      round(greatest(300 + 100 * {normal('premium_amount')}, 50), 2) as premium_amount, round({beta('risk_score', 2, 5)} * 100, 1) as risk_score, {days_ago('start_date', 365)} as start_date,
+      {days_ago('start_date', 365)} + {integer('rel.end_date', 1, 14)}::int as end_date from (select c_custkey as k from customer)""")
 
 
 @query("gen_custom_template", f"""
@@ -224,12 +320,36 @@ def gen_iot(t):
     return rounded(out, "value", n=6)
 
 
+_DOMAINS = {
+    "ecommerce": f"""
+    select *, round(price * quantity, 2) as total_amount from (select 'ORD' || lpad((k + 1)::varchar, 8, '0') as order_id,
+      'CUST' || lpad({member('customer', 'greatest(1, (select count(*) from orders) // 10 - 1)')}::varchar, 6, '0') as customer_id, 'PROD' || lpad({integer('product', 1, 999)}::varchar, 5, '0') as product_id,
+      {titled(pick('p1.word', D.WORDS))} || ' ' || {titled(pick('p2.word', D.WORDS))} as product_name, {pick('category', T.SHOP_CATEGORIES)} as category, round({lognormal('price', 3, 1)}, 2) as price,
+      {trials('quantity', 0.3)} as quantity, {moment('order_date', 1672531200, 31536000)} as order_date, {address('shipping_address')} as shipping_address,
+      {choose('payment_method', T.SHOP_PAYMENTS)} as payment_method, {choose('status', T.SHOP_STATUS)} as status from (select o_orderkey as k from orders))""",
+    "healthcare": f"""
+    select 'PAT' || lpad((k + 1)::varchar, 6, '0') as patient_id, round({beta('age', 5, 2)} * 100, 6) as age, {choose('gender', T.PATIENT_GENDERS)} as gender, {pick('blood_type', T.BLOOD_TYPES)} as blood_type,
+      (date '2022-01-01' + floor({u('admission_date')} * 731)::int)::date as admission_date, {pick('diagnosis', T.DIAGNOSES)} as diagnosis,
+      {titled(pick('treatment.0.word', D.WORDS))} || ' ' || concat_ws(' ', {', '.join(pick(f'treatment.{i}.word', D.WORDS) for i in range(1, 5))}) || '.' as treatment,
+      round({clipped('120 + 20 * ' + normal('sys'), 80, 200)}, 6) as blood_pressure_sys, round({clipped('80 + 10 * ' + normal('dia'), 50, 120)}, 6) as blood_pressure_dia,
+      round({clipped('72 + 12 * ' + normal('heart_rate'), 40, 150)}, 6) as heart_rate, round({clipped('98.6::double + ' + normal('temperature'), 95, 105)}, 6) as temperature,
+      round({clipped('-5 * ln(' + uo('length_of_stay') + ')', 1, 30)}, 6) as length_of_stay from (select c_custkey as k from customer)""",
+    "financial": f"""
+    select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as transaction_id,
+      'ACC' || lpad({member('account', 'greatest(1, (select count(*) from orders) // 20 - 1)')}::varchar, 8, '0') as account_id, {moment('transaction_date', 1672531200, 31536000)} as transaction_date,
+      {choose('transaction_type', T.MONEY_MOVES)} as transaction_type, round({lognormal('amount', 5, 2)}, 2) as amount, round({lognormal('balance_after', 8, 1)}, 2) as balance_after,
+      case when {u('merchant.known')} < 0.7::double then {pick('merchant.last', D.LAST_NAMES)} || ' ' || {pick('merchant.end', D.COMPANY_ENDS)} end as merchant, {pick('category', T.SPENDING)} as category,
+      ({u('fraud_flag')} < 0.005::double)::int as fraud_flag from (select o_orderkey as k, md5('42:transaction_id:' || o_orderkey) as h from orders)""",
+}
+
 for _name, _table, _key in (("ecommerce", "orders", "o_orderkey"), ("healthcare", "customer", "c_custkey"), ("financial", "orders", "o_orderkey")):
     def _domain(t, name=_name, table=_table, key=_key):
         base = getattr(t, table).select(F.col(key).alias("k"))
-        return T.generate_domain(base, "k", name, base.count())
+        out = plain_times(T.generate_domain(base, "k", name, base.count()))
+        measures = ("age", "blood_pressure_sys", "blood_pressure_dia", "heart_rate", "temperature", "length_of_stay")
+        return rounded(out, *[c for c in measures if c in out.columns], n=6)
 
-    query(f"gen_domain_{_name}")(_domain)
+    query(f"gen_domain_{_name}", _DOMAINS[_name])(_domain)
 
 
 @query("gen_simple", f"""
