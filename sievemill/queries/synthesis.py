@@ -359,21 +359,48 @@ def gen_simple(t):
     return T.generate_complexity(t.customer.select(F.col("c_custkey").alias("k")), "k", "simple", 0).select("id", "age", "salary", "department")
 
 
-@query("gen_very_complex")
+def _sentiment(name, key="k"):
+    first = pick(f"{name}.mood", list(T.MOODS), key)
+    word = "case " + " ".join(f"when {first} = '{m}' then {pick(f'{name}.{m}', words, key)}" for m, words in T.MOODS.items()) + " end"
+    told = [pick(f"{name}.{i}.word", D.WORDS, key) for i in range(10)]
+    return f"{titled('(' + word + ')')} || '! ' || {titled(told[0])} || ' ' || concat_ws(' ', {', '.join(told[1:])}) || '.'"
+
+
+_IMAGE = f"""list_sum(list_transform(range(128), lambda i: sqrt(ln((('0x' || substr(md5('42:image#r:' || k || ':' || i), 1, 13))::bigint + 0.5::double) / {SPAN}) * -2)
+  * cos((('0x' || substr(md5('42:image#a:' || k || ':' || i), 1, 13))::bigint + 0.5::double) / {SPAN} * 2 * pi())))"""
+
+
+@query("gen_very_complex", f"""
+    with x as (select c_custkey as k from customer),
+      e as (select k, k + 1 as id, {full_name('name')} as name, {integer('age', 18, 79)} as age, round(50000 + 15000 * {normal('salary')}, 2) as pay, {pick('department', T.TEAMS)} as department,
+        (date '2019-01-01' + floor({u('joined_date')} * 1827)::int)::date as joined_date, {address('address')} as address, {beta('performance', 5, 2)} * 100 as score from x),
+      y as (select *, trunc({clipped(f"(age - 22) * (0.5::double + {u('experience')} * {0.8 - 0.5!r}::double)", 0, 40)})::int as experience_years from e)
+    select id, name, age, department, joined_date, address, experience_years, round(score, 6) as performance_score, round(pay * score / 100 * 0.2, 6) as bonus,
+      case when experience_years > 10 then 'Lead' when experience_years > 5 then 'Senior' when experience_years > 2 then 'Mid' when experience_years > 0 then 'Junior' end as level,
+      case when age <= 60 then lower(replace(name, ' ', '.')) || '@company.com' end as email,
+      case when not {u('phone.missing')} < 0.1::double then '555-' || {digits('phone.a', 3)} || '-' || {digits('phone.b', 4)} end as phone,
+      round(case when {u('salary.outlier')} < 0.05::double then pay * (2 + {u('salary.factor')}) else pay end, 6) as salary,
+      (date '2020-01-01' + (k % 36500)::int)::date as transaction_date,
+      round(greatest(1000 + sin(k * (2 * pi() / 365)) * 500 + sin(k * (2 * pi() / 7)) * 200 + 100 * {normal('sales')}, 0), 6) as daily_sales,
+      array_to_string([{', '.join(pick(f'tag{i}.word', D.WORDS) for i in range(4))}][1:{integer('tags', 1, 4)}], ',') as tags,
+      round({u('score.quality')}, 6) as quality, round({u('score.efficiency')}, 6) as efficiency, round({u('score.innovation')}, 6) as innovation,
+      round(({integer('component', 0, 2)} - 1 + 0.6::double * {normal('value')}) * 1000 + 5000, 6) as customer_value,
+      round(({integer('component', 0, 2)} - 1 + 0.6::double * {normal('frequency')}) * 10 + 20, 6) as purchase_frequency,
+      case when k > 0 and {u('manager')} < 0.8::double then greatest(id - {integer('manager.back', 1, 10)}, 1) end as manager_id,
+      round(-90 + {u('latitude')} * 180, 6) as latitude, round(-180 + {u('longitude')} * 360, 6) as longitude, {_sentiment('comments')} as comments,
+      128 as vector_size, round({_IMAGE}, 6) as vector_sum from y""")
 def gen_very_complex(t):
     made = T.generate_complexity(t.customer.select(F.col("c_custkey").alias("k")), "k", "very_complex", 0)
-    return made.withColumn("vector_size", F.size("image_embedding")).drop("image_embedding", "metadata")
+    total = F.aggregate("image_embedding", F.lit(0.0), lambda a, x: a + x)
+    flat = made.withColumns({
+        "tags": F.array_join("metadata.tags", ","), **{c: F.col(f"metadata.scores.{c}") for c in ("quality", "efficiency", "innovation")},
+        "vector_size": F.size("image_embedding"), "vector_sum": total,
+    }).drop("image_embedding", "metadata")
+    measures = ["performance_score", "bonus", "salary", "daily_sales", "quality", "efficiency", "innovation", "customer_value", "purchase_frequency", "latitude", "longitude", "vector_sum"]
+    return rounded(flat, *measures, n=6)
 
 
-def _sentiment():
-    first = pick("comment.mood", list(T.MOODS), "c_custkey")
-    word = "case " + " ".join(f"when {first} = '{m}' then {pick(f'comment.{m}', words, 'c_custkey')}" for m, words in T.MOODS.items()) + " end"
-    told = [pick(f"comment.{i}.word", D.WORDS, "c_custkey") for i in range(10)]
-    title = lambda x: f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
-    return f"select c_custkey as k, {title('(' + word + ')')} || '! ' || {title(told[0])} || ' ' || concat_ws(' ', {', '.join(told[1:])}) || '.' as comment from customer"
-
-
-@query("gen_sentiment", _sentiment())
+@query("gen_sentiment", f"select c_custkey as k, {_sentiment('comment', 'c_custkey')} as comment from customer")
 def gen_sentiment(t):
     d = draws(t)
     return t.customer.select(F.col("c_custkey").alias("k")).select("k", T.gen_sentiment(d, "comment").alias("comment"))
