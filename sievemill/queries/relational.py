@@ -132,6 +132,20 @@ def orphans_customer(t):
     return R.orphans(t.customer, t.orders, {"c_custkey": "o_custkey"}).select("c_custkey")
 
 
+@query("orphans_customer_finished", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
+def orphans_customer_finished(t):
+    return R.orphans(t.customer, t.orders.where("o_orderstatus = 'F'"), {"c_custkey": "o_custkey"}).select("c_custkey")
+
+
+@query("orphans_lines", """
+    select l_orderkey, l_linenumber from lineitem a where not exists (
+      select 1 from lineitem b where b.l_partkey = a.l_partkey and b.l_suppkey = a.l_suppkey and b.l_returnflag = 'R')""")
+def orphans_lines(t):
+    """Lines whose part was never returned to the same supplier."""
+    returned = t.lineitem.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey")
+    return R.orphans(t.lineitem, returned, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+
+
 @query("exists_in_customer", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
 def exists_in_customer(t):
     return R.exists_in(t.customer, t.orders.where("o_orderstatus = 'F'"), {"c_custkey": "o_custkey"}).select("c_custkey")

@@ -193,13 +193,19 @@ def alert_episodes(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("triggered_at", "resolved_at")})
 
 
-@query("prometheus_text", _POINTS + """
-    , last as (select name, user_id % 3 as zone, arg_max(value, (ts, value)) as v from p where name <> 'unregistered.metric' group by all)
-    select name || '{zone="' || zone || '"}' as series, round(v, 6) as value from last""")
+_HEADS = ", ".join(f"('{name}', '{kind}', '{told}')" for name, kind, _, told, _, _ in M.DEFINITIONS)
+
+
+@query("prometheus_text", _POINTS + f"""
+    , last as (select name, user_id % 3 as zone, arg_max(value, (ts, value)) as v from p where name <> 'unregistered.metric' group by all),
+    d(name, kind, told) as (values {_HEADS})
+    select name, 2 as part, name || '{{zone="' || zone || '"}}' as series, round(v, 6) as value from last
+    union all select name, 0, '# HELP ' || name || ' ' || told, null from d union all select name, 1, '# TYPE ' || name || ' ' || kind, null from d""")
 def prometheus_text(t):
-    lines = M.to_prometheus(points(t.events), M.definitions(t.spark)).where("part = 2")
-    parts = F.split("line", " ")
-    return lines.select(parts[0].alias("series"), F.round(parts[1].cast("double"), 6).alias("value"))
+    lines = M.to_prometheus(points(t.events), M.definitions(t.spark))
+    parts, sample = F.split("line", " "), F.col("part") == 2
+    value = F.when(sample, F.round(parts[1].try_cast("double"), 6))
+    return lines.select("name", "part", F.when(sample, parts[0]).otherwise(F.col("line")).alias("series"), value.alias("value"))
 
 
 @query("metric_retention", "select event_id from events where ts >= timestamp '2024-01-30' - interval 10 days")
