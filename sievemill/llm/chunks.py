@@ -127,9 +127,9 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
     shared = stored(shared.select("digest", "first"))
     later = held().join(shared, "digest").where("owner <> first")
     per_row = stored(later.groupBy("owner").agg(F.collect_set("digest").alias("_digests")))  # one text's chunks at most
-    listed = spare(keyed, "_digests")
-    per_row = per_row.select(F.col("owner").alias("_owner"), F.col("_digests").alias(listed))
-    met = keyed.join(per_row, keyed[key] == per_row["_owner"], "left").drop("_owner")
+    owner, listed = spare(keyed, "_owner"), spare(keyed, "_digests")
+    per_row = per_row.select(F.col("owner").alias(owner), F.col("_digests").alias(listed))
+    met = keyed.join(per_row, keyed[key] == per_row[owner], "left").drop(owner)
 
     out = docs.schema
     extra = []

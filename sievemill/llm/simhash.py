@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import components, stored
+from sievemill.llm.common import components, spare, stored
 
 #: words in a shingle, and bits by which linked fingerprints may differ
 SHINGLE, DISTANCE = 3, 2
@@ -160,8 +160,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.  All columns stay as they are."""
-    kept = near_duplicates(docs, shingle, distance, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    kept_id, kept_hash = spare(docs, "_kept_id"), spare(docs, "_kept_hash")
+    kept = near_duplicates(docs, shingle, distance, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
     kept = stored(kept)
     text = F.xxhash64(F.col(text_col).cast("string"))
-    met = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]) & (text == kept["_kept_hash"]))
-    return met.dropDuplicates(["_kept_id", "_kept_hash"]).select(*[docs[c] for c in docs.columns])
+    met = docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]) & (text == kept[kept_hash]))
+    return met.dropDuplicates([kept_id, kept_hash]).select(*[docs[c] for c in docs.columns])

@@ -28,5 +28,5 @@ def odd_documents(spark):
         (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, " \t\n ", None, None, None), (4, "a", "de", "s", 1), (4, "a", "de", "s", 1), (None, "no id here", "fr", "s", 5),
         (None, None, None, None, None), (5, long, "en", "s", 9), (6, long, "en", "s", 9), (7, "ünï çödé 漢字 \U0001f600 été", "fr", "s", 3), (8, "…" * 500, "en", "s", 500),
     ]
-    made = [(*r, 0.25, "clash", -1, True, "x") for r in rows]
-    return spark.createDataFrame(made, DOCUMENT + ", score double, fingerprint string, _key int, kept boolean, offset string")
+    made = [(*r, 0.25, "clash", -1, True, "x", 3, 4) for r in rows]
+    return spark.createDataFrame(made, DOCUMENT + ", score double, fingerprint string, _key int, kept boolean, offset string, _owner int, _kept_id int")
