@@ -194,7 +194,9 @@ def randomized_response(df: DataFrame, cols: Sequence[str] | None, epsilon: floa
         swap = F.col(c).isNotNull() & (rng.uniform(seed, f"keep:{c}", key) > F.lit(keep))
         at = F.floor(rng.uniform(seed, f"draw:{c}", key) * F.lit(m)).cast("bigint") + 1
         numbered = ordered_scan(domain, ["_v"], number="_at")
-        joined = df.withColumn("_want", F.when(swap, at)).join(numbered, F.col("_want") == F.col("_at"), "left")
+        # kept rows get negative numbers of their own, which meet nothing: nulls would all land in one partition of the join
+        none = F.lit(-1) - F.pmod(F.xxhash64(key), F.lit(1 << 20))
+        joined = df.withColumn("_want", F.when(swap, at).otherwise(none)).join(numbered, F.col("_want") == F.col("_at"), "left")
         df = joined.select(*[F.coalesce("_v", c).alias(c) if x == c else F.col(x) for x in df.columns])
     return df
 
