@@ -2,9 +2,10 @@
 
 A gear hash rolls over the words of a text, joined by single spaces, and looks back sixteen bytes.  Where it falls under a
 threshold, the next word starts a new chunk.  So boundaries depend on the words around them alone: an insertion moves no
-boundary further on, and a passage that two texts share has the same chunks in both but for its ends.  Chunks are
-told apart by a 64-bit digest; of the rows that hold one, that of the smallest id keeps it.  Elsewhere it goes if
-it stands in a run of such chunks of MIN_WORDS words or more, so that common lines and phrases stay.
+boundary further on, and a passage that two texts share has the same chunks in both but for its ends.  What is looked
+up elsewhere is a passage: the fewest chunks in a row that have MIN_WORDS words, from each chunk on and up to each chunk.
+Passages are told apart by a 64-bit digest; of the rows that hold one, that of the smallest id keeps it, the others lose
+it.  Chunks that occur elsewhere, but not in a row, stay, and so do common lines and phrases.
 """
 
 from __future__ import annotations
@@ -59,11 +60,35 @@ def chunk(text: bytes, spacing: int = SPACING) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.frombuffer(digests, ">i8").astype(np.int64)
 
 
-def _earlier(digests: np.ndarray) -> np.ndarray:
-    """True for digests that occur earlier in the same text."""
-    first = np.zeros(len(digests), dtype=bool)
-    first[np.unique(digests, return_index=True)[1]] = True
-    return ~first
+def passages(cuts: np.ndarray, digests: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, chunk after the last, and digest of every passage, in the order of the text.
+
+    From each chunk on the fewest chunks that have ``min_words`` words, and up to each chunk likewise: these cover every
+    run of chunks with so many words, the last chunks of a run too.
+    """
+    n = len(digests)
+    after = np.searchsorted(cuts, cuts[:-1] + min_words)
+    before = np.searchsorted(cuts, cuts[1:] - min_words, side="right") - 1
+    ahead, back = np.flatnonzero(after <= n), np.flatnonzero(before >= 0)
+    spans = np.unique(np.concatenate([ahead * (n + 1) + after[ahead], before[back] * (n + 1) + back + 1]))
+    first, last = spans // (n + 1), spans % (n + 1)
+    held, digest = digests.tobytes(), xxhash.xxh3_64_digest
+    found = b"".join([digest(held[8 * a : 8 * b]) for a, b in zip(first.tolist(), last.tolist())])
+    return first, last, np.frombuffer(found, ">i8").astype(np.int64)
+
+
+def _earlier(first: np.ndarray, last: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """True for passages that stand earlier in the same text, clear of where they first stand."""
+    _, at, which = np.unique(digests, return_index=True, return_inverse=True)
+    return first >= last[at[which]]
+
+
+def _covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """True for those of ``n`` chunks that a passage covers."""
+    depth = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, last, -1)
+    return np.cumsum(depth[:-1]) > 0
 
 
 def _words_at(text: bytes) -> np.ndarray:
@@ -110,7 +135,7 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
             keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.large_binary())
             owners, digests, size = [], [], 0
             for k, v in zip(keys, values):
-                own = np.unique(chunk(v.as_py() or b"", spacing)[1])
+                own = np.unique(passages(*chunk(v.as_py() or b"", spacing), min_words)[2])
                 owners.append(np.full(len(own), k, np.int64))
                 digests.append(own)
                 size += len(own)
@@ -126,7 +151,7 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
     shared = held().groupBy("digest").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last")
     shared = stored(shared.select("digest", "first"))
     later = held().join(shared, "digest").where("owner <> first")
-    per_row = stored(later.groupBy("owner").agg(F.collect_set("digest").alias("_digests")))  # one text's chunks at most
+    per_row = stored(later.groupBy("owner").agg(F.collect_set("digest").alias("_digests")))  # one text's passages at most
     owner, listed = spare(keyed, "_owner"), spare(keyed, "_digests")
     per_row = per_row.select(F.col("owner").alias(owner), F.col("_digests").alias(listed))
     met = keyed.join(per_row, keyed[key] == per_row[owner], "left").drop(owner)
@@ -153,10 +178,11 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
                     ranges.append("")
                     continue
                 cuts, digests = chunk(value, spacing)
-                repeated = _earlier(digests)
+                first, last, found = passages(cuts, digests, min_words)
+                again = _earlier(first, last, found)
                 if marked.is_valid:
-                    repeated |= np.isin(digests, marked.values.to_numpy())
-                value, removed, runs = cut_out(value, cuts, repeated, min_words)
+                    again |= np.isin(found, marked.values.to_numpy())
+                value, removed, runs = cut_out(value, cuts, _covered(len(digests), first[again], last[again]), min_words)
                 new.append(value)
                 n_words.append(int(cuts[-1]))
                 n_removed.append(removed)

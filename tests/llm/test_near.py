@@ -219,6 +219,40 @@ def test_passages_go_from_all_but_the_first(spark):
         assert len(got[i]["text"].split()) == got[i]["n_words"] - got[i]["n_removed"]
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_clean_documents_of_common_words_lose_nothing(spark, n):
+    rng = np.random.default_rng(4)
+    vocabulary = passage(3, 300).split()
+    share = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(vocabulary[w] for w in rng.choice(300, 300, p=share / share.sum()))) for i in range(n)]
+    got = chunks.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["removed"] for r in got.where("n_removed > 0").collect()} == {}
+
+
+def test_what_goes_stands_in_an_earlier_text_or_before():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        words = passage(6, 40).split()
+        text = " ".join(words[w] for w in np.concatenate([rng.integers(0, 40, rng.integers(0, 30)), *[np.arange(25)] * 3, rng.integers(0, 40, 20)]))
+        cuts, digests = chunks.chunk(text.encode(), 8)
+        first, last, found = chunks.passages(cuts, digests)
+        for a, b in zip(first, last):
+            assert cuts[b] - cuts[a] >= 14 and (cuts[b] - cuts[a + 1] < 14 or cuts[b - 1] - cuts[a] < 14)
+        known = {}
+        for a in range(len(digests)):
+            for b in range(a + 1, len(digests) + 1):
+                if cuts[b] - cuts[a] >= 14:
+                    known.setdefault(tuple(digests[a:b]), []).append((a, b))
+        want = np.zeros(len(digests), dtype=bool)
+        for spans in known.values():
+            for a, b in spans[1:]:
+                if a >= spans[0][1]:
+                    want[a:b] = True
+        again = chunks._earlier(first, last, found)
+        got = chunks._covered(len(digests), first[again], last[again])
+        assert (got == want).all()
+
+
 def test_insertions_do_not_move_later_chunks():
     text = passage(1, 400)
     a, b = chunks.chunk(text.encode())[1], chunks.chunk(("some new words " + text).encode())[1]
