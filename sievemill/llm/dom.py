@@ -14,6 +14,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe svg object canvas head title textarea select button datalist math audio video map".split())
 #: elements whose content is not parsed
 RAW = frozenset("script style textarea title xmp iframe noscript".split())
+#: elements that can stand in a head; anything else ends it, as does text
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes script style template".split())
 #: elements that run inside a line of text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: start tags that end an open element, up to the nearest element of the last set
@@ -112,12 +114,18 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             end_block()
 
+    def end_head() -> None:
+        if open_tags[-1][0] == "head":  # its end tag may be left out
+            close()
+
     while at < len(source):
         token = TOKEN.search(source, at)
+        text = source[at : token.start() if token else len(source)]
+        if text.strip(" \t\n\r\f"):
+            end_head()
+        say(text)
         if token is None:
-            say(source[at:])
             break
-        say(source[at : token.start()])
         at = token.end()
         if token[2] is None:
             if token[0].startswith("<![CDATA["):
@@ -136,6 +144,8 @@ def parse(source: str) -> Page:
                 if tag in INLINE and name not in INLINE:
                     break  # an inline end tag doesn't end the block around it
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in VOID:
             if tag == "br":
                 say(" ")

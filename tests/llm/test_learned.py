@@ -226,6 +226,21 @@ def test_odd_pages(spark, page_model):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<body><p>", "<p>", "<h1>x</h1>", "", "<img src=a>", "<div>"])
+def test_head_without_end_tag(start):
+    head = "<html><head>\n<meta charset=utf-8><title>T</title><script>a < b</script><style>p {}</style><link href=x>"
+    open_head, closed = dom.parse(f"{head}{start}Some text."), dom.parse(f"{head}</head>{start}Some text.")
+    said = [t.strip() for _, t in open_head.texts if t.strip()]
+    assert said[-1] == "Some text." and "T" not in said
+    assert said == [t.strip() for _, t in closed.texts if t.strip()]
+    assert open_head.tag == closed.tag and open_head.parent == closed.parent
+
+
+def test_text_of_a_page_whose_head_is_open(page_model):
+    assert "</head>" in PAGE
+    assert pages.main_texts([PAGE.replace("</head>", "")], page_model) == pages.main_texts([PAGE], page_model) != [""]
+
+
 def test_roles_of_held_out_conversations(spark):
     table = spark.read.parquet(DATA.replace("0.001", "0.1") + "/conversations.parquet")
     rows = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(table).collect()}
