@@ -184,6 +184,23 @@ def test_odd_vectors(spark):
     assert embeddings.near_vectors(empty).count() == 0
 
 
+def test_passes_grow_with_rows():
+    assert [embeddings.passes_for(n, 0.95, 64, 12) for n in (1, 64, 10**4)] == [12, 12, 12]
+    for n in (10**6, 10**7, 10**8):
+        met = 0.899 ** np.log2(n / 64)
+        assert 1 - (1 - met) ** embeddings.passes_for(n, 0.95, 64, 12) >= 0.998
+
+
+def test_pairs_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    way = rng.standard_normal(64)
+    way *= 2.4 * 8 / np.linalg.norm(way)
+    one, noise = rng.standard_normal((2, 700, 64))
+    rows = [*rng.standard_normal((500, 64)), *(way + one), *(way + 0.8 * one + 0.6 * noise)]
+    check_vectors(spark, [(i, v.tolist()) for i, v in enumerate(rows)], "double", window=8)
+
+
 def passage(seed, n):
     rng = np.random.default_rng(seed)
     return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
