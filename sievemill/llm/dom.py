@@ -99,7 +99,8 @@ def parse(source: str) -> Page:
 
     def say(text: str) -> None:
         if text and not open_tags[-1][2]:
-            page.texts.append((open_tags[-1][1], html.unescape(text)))
+            said = html.unescape(text)
+            page.texts.append((open_tags[-1][1], " " if said == "\n" else said))  # a line feed alone is a block's end
             page.linked.append(links > 0)
 
     def end_block() -> None:

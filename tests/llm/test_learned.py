@@ -236,6 +236,13 @@ def test_head_without_end_tag(start):
     assert open_head.tag == closed.tag and open_head.parent == closed.parent
 
 
+@pytest.mark.parametrize("gap", ["\n", "&#10;"])
+def test_line_feed_between_inline_elements_ends_no_block(page_model, gap):
+    html = PAGE.replace("First paragraph of the story", f"<b>First</b>{gap}<i>paragraph of the story</i>")
+    assert html != PAGE
+    assert pages.main_texts([html], page_model) == pages.main_texts([PAGE], page_model)
+
+
 def test_text_of_a_page_whose_head_is_open(page_model):
     assert "</head>" in PAGE
     assert pages.main_texts([PAGE.replace("</head>", "")], page_model) == pages.main_texts([PAGE], page_model) != [""]
