@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemill.llm import bpe, chat, chunks, embeddings, langid, packing, pages, quality, rules, simhash
+from sievemill.llm import bpe, chat, chunks, embeddings, infill, langid, packing, pages, quality, repair, rules, sharding, simhash
 from sievemill.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,18 @@ def _op9(documents):
 @query("op10_byte_bpe", "documents")
 def _op10(documents):
     return bpe.encode_documents(documents)
+
+
+@query("op11_fill_in_middle", "documents", sql=infill.SQL)
+def _op11(documents):
+    return infill.digests(documents)
+
+
+@query("op12_sharding", "documents")
+def _op12(documents):
+    return sharding.shard_documents(documents)
+
+
+@query("op13_conversation_repair", "conversations", sql=repair.SQL)
+def _op13(conversations):
+    return repair.report(repair.damage(conversations))
