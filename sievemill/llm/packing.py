@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import steps, stored, worker_store
+from sievemill.llm.common import STEP_BYTES, stored, worker_store
 
 CAPACITY = 2048
 #: id that ends each document
@@ -32,6 +33,7 @@ class WordIds:
 
     Such tokenizers lower-case, so lower-casing ASCII first changes nothing and makes fewer words.  A word of which the
     last character alone is a full stop or comma after an ASCII letter is encoded without it: the tokenizer splits there.
+    Strings of special tokens are encoded as the tokenizer encodes them, wherever in a word they stand.
     """
 
     MARKS = {ord("."): b".", ord(","): b","}
@@ -40,8 +42,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,26 +64,75 @@ class WordIds:
         flat, cuts = ids.tobytes(), (4 * last).tolist()
         return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        """Give each new word a slot: a run of ids in ``flat``."""
         stem = {w: w[:-1] if len(w) > 1 and w[-1] in self.mark and 97 <= w[-2] <= 122 else w for w in words}
-        fresh = list({s for s in stem.values() if s not in self.known})
+        fresh = list({s for s in stem.values() if s not in self.slot})
         plain = {s: t for s in fresh if (t := s.decode()).isalpha()}
         rest = [s for s in fresh if s not in plain]
-        self.known.update(zip(plain, self._together(list(plain.values()))))
-        self.known.update(zip(rest, self._one_by_one(rest)))
+        ids = dict(zip(plain, self._together(list(plain.values()))))
+        ids.update(zip(rest, self._one_by_one(rest)))
         for w, s in stem.items():
-            if w is not s and w not in self.known:
-                self.known[w] = self.known[s] + self.mark[w[-1]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        lines = [t.lower().split() for t in texts]
-        fresh = set().union(*lines).difference(self.known)
+            if w is not s and w not in self.slot:
+                ids[w] = (ids[s] if s in ids else self._ids(s)) + self.mark[w[-1]]
+        self._keep(ids)
+
+    def _ids(self, word: bytes) -> bytes:
+        k = self.slot[word]
+        return self.flat[self.first[k] : self.first[k] + self.count[k]].tobytes()
+
+    def _keep(self, ids: dict[bytes, bytes]) -> None:
+        count = np.fromiter((len(x) // 4 for x in ids.values()), np.int64, len(ids))
+        self.slot.update(zip(ids, range(len(self.slot), len(self.slot) + len(ids))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids.values()), "<u4")])
+
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._keep({b" ": np.array([END], "<u4").tobytes(), b"": b""})  # slot 0 ends a document; no word is a space
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each followed by END, and where each text's end.
+
+        Words are split and told apart in Arrow; Python meets each different word of the step once, and the ids of all
+        occurrences are taken by index.
+        """
+        if len(self.slot) > KEPT_WORDS:
+            self._forget()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        low = pc.ascii_lower(texts)
+        # a special token stands for itself only as it is written; lower-casing must not make one
+        if not any(pc.any(pc.match_substring(low, t)).as_py() for t in self.special):
+            texts = low
+        lists = pc.ascii_split_whitespace(texts)
+        told = lists.flatten().dictionary_encode()
+        words = [w.encode() for w in told.dictionary.to_pylist()]
+        fresh = [w for w in words if w not in self.slot]
         if fresh:
             self._learn(fresh)
-        return [b"".join(map(self.known.__getitem__, line)) for line in lines]
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False) + 1) - 1
+        ends = np.zeros(len(told) + len(texts), dtype=bool)
+        ends[last] = True
+        at = np.zeros(len(ends), dtype=np.int64)
+        at[~ends] = slots[told.indices.to_numpy(zero_copy_only=False)]
+        count = self.count[at]
+        total = np.cumsum(count)
+        take = np.arange(total[-1] if len(total) else 0) + np.repeat(self.first[at] - (total - count), count)
+        return self.flat[take], total[last]
+
+
+def slices(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of a string column, about ``limit`` bytes each, with the first one's index; a longer text is a part of its own."""
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        before = size[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield first, column.slice(first, stop - first)
+        first = stop
 
 
 def worker_words(path: str) -> WordIds:
@@ -96,22 +147,23 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     path = path or public_tokenizers.path("word_bpe_49k.json")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(path)
         for batch in batches:
-            for first, texts in steps(batch.column("text")):
+            for first, texts in slices(batch.column("text")):
                 owner, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(words.encode(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    for k, s in enumerate(range(0, total, capacity)):
+                ids, ends = words.encode(texts)
+                ids, low = memoryview(np.ascontiguousarray(ids)).cast("B"), 0
+                for i, high in enumerate(ends.tolist()):
+                    for k, s in enumerate(range(low, high, capacity)):
+                        stop = min(s + capacity, high)
                         owner.append(first + i)
                         piece.append(k)
-                        start.append(s)
-                        length.append(min(capacity, total - s))
-                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
+                        start.append(s - low)
+                        length.append(stop - s)
+                        crc.append(zlib.crc32(ids[4 * s : 4 * stop]))
+                    low = high
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],

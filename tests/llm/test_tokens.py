@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -28,9 +29,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(WORDS)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -101,14 +100,28 @@ def test_odd_documents(odd_documents):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=60) | st.text("abC.,'s 12é", max_size=60), max_size=5))
+@given(st.lists(st.text(max_size=60) | st.text("abC.,'s 12é\n\x0b\x1c\xa0", max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", "<|ENDofTEXT|>", "<|startoftext|>", "x", " ", ".", "<|"]), max_size=6).map("".join), max_size=5))
 def test_words_equal_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     if not hasattr(test_words_equal_library, "made"):
         test_words_equal_library.made = packing.WordIds(WORDS)
-    words = test_words_equal_library.made
-    want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert words.encode([t.encode() for t in texts]) == want
+    untouched = Tokenizer.from_file(WORDS)
+    want = [[*e.ids, packing.END] for e in untouched.encode_batch(texts, add_special_tokens=False)]
+    ids, ends = test_words_equal_library.made.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == (want or [[]])
+
+
+def test_forgotten_words_are_learned_again(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    words = packing.WordIds(WORDS)
+    for text in ("one two. two, three", "two, two. four", "one two. two, three"):
+        assert words.encode(pa.array([text]))[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_slices_are_whole_texts_in_order():
+    column = pa.array(["ab", None, "cdefgh", "", "i", "j"])
+    parts = list(packing.slices(column, 3))
+    assert [first for first, _ in parts] == [0, 2, 3] and sum((p.to_pylist() for _, p in parts), []) == column.to_pylist()
 
 
 @settings(max_examples=80, deadline=None)
