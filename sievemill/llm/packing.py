@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -20,107 +21,116 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import STEP_BYTES, stored, worker_store
+from sievemill.llm.features import SPACE
 
 CAPACITY = 2048
 #: id that ends each document
 END = 0
 #: distinct words a worker keeps, and pieces that share one rank group of a length
-KEPT_WORDS, GROUP_PIECES = 400_000, 100_000
+KEPT_WORDS, GROUP_PIECES = 800_000, 100_000
+
+
+def _words(column: pa.Array, special: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of a string column, as bytes and told apart, and how many each text has; only ASCII white space parts them.
+
+    ASCII letters come in lower case, unless that would make one of the ``special`` strings: these stand for themselves only as
+    they are written.
+    """
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    low = data.lower()
+    data = np.frombuffer(data if any(t in low for t in special) else low, np.uint8)
+    inside = ~SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = (ends[:-1] - ends[0])[np.diff(ends) > 0]
+    first[begins] = inside[begins]  # a word ends with its text
+    # a full stop or comma that ends a word, after an ASCII letter, is a word of its own: tokenizers split there
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    marks = np.flatnonzero(last & ~first & ((data == ord(".")) | (data == ord(","))))
+    first[marks[(data[marks - 1] >= ord("a")) & (data[marks - 1] <= ord("z"))]] = True
+    starts = np.flatnonzero(first)
+    letters = np.cumsum(inside)
+    offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, ends - ends[0]))
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+    """Ids of texts by a tokenizer that never joins across ASCII white space and lower-cases: each distinct word is encoded once.
 
-    Such tokenizers lower-case, so lower-casing ASCII first changes nothing and makes fewer words.  A word of which the
-    last character alone is a full stop or comma after an ASCII letter is encoded without it: the tokenizer splits there.
     Strings of special tokens are encoded as the tokenizer encodes them, wherever in a word they stand.
     """
 
-    MARKS = {ord("."): b".", ord(","): b","}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.mark = {m: self._one_by_one([w])[0] for m, w in self.MARKS.items()}
-
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, many in one call: each of them ends with an id that ends a word, and has no other."""
-        lines = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found] or [np.zeros(0, "<u4")])
-        last = np.flatnonzero(self.ends[ids]) + 1
+        self._forget()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(count.sum())), count
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode`` for words of letters only, many in one call: each of them ends with an id that ends a word, and has no other."""
+        ids, _ = self._encode([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)])
+        last = np.flatnonzero(self.ends[ids])
         if len(last) != len(words):
-            return self._one_by_one([w.encode() for w in words])
-        flat, cuts = ids.tobytes(), (4 * last).tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+            return self._encode(words)
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
 
     def _learn(self, words: list[bytes]) -> None:
         """Give each new word a slot: a run of ids in ``flat``."""
-        stem = {w: w[:-1] if len(w) > 1 and w[-1] in self.mark and 97 <= w[-2] <= 122 else w for w in words}
-        fresh = list({s for s in stem.values() if s not in self.slot})
-        plain = {s: t for s in fresh if (t := s.decode()).isalpha()}
-        rest = [s for s in fresh if s not in plain]
-        ids = dict(zip(plain, self._together(list(plain.values()))))
-        ids.update(zip(rest, self._one_by_one(rest)))
-        for w, s in stem.items():
-            if w is not s and w not in self.slot:
-                ids[w] = (ids[s] if s in ids else self._ids(s)) + self.mark[w[-1]]
-        self._keep(ids)
-
-    def _ids(self, word: bytes) -> bytes:
-        k = self.slot[word]
-        return self.flat[self.first[k] : self.first[k] + self.count[k]].tobytes()
-
-    def _keep(self, ids: dict[bytes, bytes]) -> None:
-        count = np.fromiter((len(x) // 4 for x in ids.values()), np.int64, len(ids))
-        self.slot.update(zip(ids, range(len(self.slot), len(self.slot) + len(ids))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        texts = [w.decode() for w in words]
+        plain = [t.isalpha() for t in texts]
+        other = [not p for p in plain]
+        ids, count = self._together(list(compress(texts, plain)))
+        more, counts = self._encode(list(compress(texts, other)))
+        self._keep([*compress(words, plain), *compress(words, other)], np.concatenate([ids, more]), np.concatenate([count, counts]))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count, dtype=np.int32) - count])
         self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids.values()), "<u4")])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _forget(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._keep({b" ": np.array([END], "<u4").tobytes(), b"": b""})  # slot 0 ends a document; no word is a space
+        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._keep([b" "], np.array([END], "<u4"), np.ones(1, np.int32))  # slot 0 ends a document; no word is a space
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by END, and where each text's end.
 
-        Words are split and told apart in Arrow; Python meets each different word of the step once, and the ids of all
+        Words are split in numpy and told apart in Arrow; Python meets each different word of the step once, and the ids of all
         occurrences are taken by index.
         """
         if len(self.slot) > KEPT_WORDS:
             self._forget()
-        texts = texts.cast(pa.large_string()).fill_null("")
-        low = pc.ascii_lower(texts)
-        # a special token stands for itself only as it is written; lower-casing must not make one
-        if not any(pc.any(pc.match_substring(low, t)).as_py() for t in self.special):
-            texts = low
-        lists = pc.ascii_split_whitespace(texts)
-        told = lists.flatten().dictionary_encode()
-        words = [w.encode() for w in told.dictionary.to_pylist()]
+        told, held = _words(texts, self.special)
+        words = told.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.slot]
         if fresh:
             self._learn(fresh)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False) + 1) - 1
-        ends = np.zeros(len(told) + len(texts), dtype=bool)
-        ends[last] = True
-        at = np.zeros(len(ends), dtype=np.int64)
-        at[~ends] = slots[told.indices.to_numpy(zero_copy_only=False)]
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int32, len(words))
+        last = np.cumsum(held + 1) - 1
+        inside = np.ones(len(told) + len(texts), dtype=bool)
+        inside[last] = False
+        at = np.zeros(len(inside), dtype=np.int32)
+        at[inside] = slots[told.indices.to_numpy(zero_copy_only=False)]
         count = self.count[at]
-        total = np.cumsum(count)
-        take = np.arange(total[-1] if len(total) else 0) + np.repeat(self.first[at] - (total - count), count)
+        total = np.cumsum(count, dtype=np.int64)
+        take = np.repeat((self.first[at] - (total - count)).astype(np.int32), count)
+        take += np.arange(len(take), dtype=np.int32)
         return self.flat[take], total[last]
 
 
