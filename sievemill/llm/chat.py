@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievemill.session import cut
 
@@ -39,6 +40,8 @@ OWN, OTHER, PLAIN = np.log(0.3), np.log(1e-9), np.log(0.6)
 #: chance of a change of role inside a row, at a line without and with a marker
 CHANGES = (1e-6, 1e-2)
 LENGTHS = 14
+#: given roles that become states, at most; a step of the chain costs the square of their number
+ROLES = 256
 BEGIN, END = "<|{}|>\n", "<|end|>\n"
 
 
@@ -96,7 +99,8 @@ def _emissions(lines, model: dict) -> np.ndarray:
 
 def _inside(n: int) -> list[np.ndarray]:
     """Log-chances from role to role inside a row, at a line without and with a marker."""
-    return [np.log(np.where(np.eye(n) > 0, 1 - (n - 1) * change, change)) for change in CHANGES]
+    shares = [min(change, 0.5 / max(n - 1, 1)) for change in CHANGES]  # to each other role
+    return [np.log(np.where(np.eye(n) > 0, 1 - (n - 1) * share, share)) for share in shares]
 
 
 def _forward(score: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -163,13 +167,15 @@ def render(lines, roles: list[str]) -> str:
     return "".join(out)
 
 
-def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_roles: int = ROLES) -> DataFrame:
     """One row per row: conv_id, turn, held_out, role_pred, n_lines, line_roles, rendered.
 
     Rows of a conversation are one chain in the order of turn (null first; ties by text).  ``role_pred`` is the role of a
     row's first line, ``line_roles`` the runs of roles in it ("user*2,assistant*1"), ``rendered`` its canonical turns,
     without speaker markers.  Given roles are learned from where crc32 of conv_id modulo 5 is not 0 and are never looked at
-    when a row is decoded.  A null or empty text is one empty line.  Rows without a conversation are chains of their
+    when a row is decoded.  States are the ``max_roles`` most frequent given roles (ties by name) and assistant, system and user;
+    rows of rarer roles teach nothing, and each gets the likeliest of the states.  Equal rows are chains' rows like others.  Very long
+    texts are read line by line, one conversation of one partition at a time.  A null or empty text is one empty line.  Rows without a conversation are chains of their
     own.  An empty table gives no rows; further columns are left out.
     """
     spark = conversations.sparkSession
@@ -180,8 +186,8 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     order = ["conv_id", "turn", "_h", "role"]
     # a checkpoint keeps the partitions and the order in them
     ordered = cut(hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_h"))
-    known = [r["role"] for r in narrow.where("role is not null").select("role").distinct().limit(64).collect()]
-    roles = sorted({*known, "assistant", "system", "user"})
+    counted = narrow.where("role is not null").groupBy("role").count().orderBy(F.desc("count"), "role")
+    roles = sorted({*[r["role"] for r in counted.limit(max_roles).collect()], "assistant", "system", "user"})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, opening, last = Counts(roles), None, None
@@ -295,6 +301,6 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
             yield batch()
 
     labels = ["conv_id", "turn", "held_out", "role_pred", "n_lines", "line_roles", "rendered"]
-    sample = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    arrow = [sample[kinds["conv_id"]], sample[kinds["turn"]], pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    given = {f.name: to_arrow_type(f.dataType) for f in narrow.schema}
+    arrow = [given["conv_id"], given["turn"], pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.string()]
     return ordered.mapInArrow(decode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, held_out boolean, role_pred string, n_lines int, line_roles string, rendered string")

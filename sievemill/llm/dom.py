@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
 #: elements without content
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is no text of the page
-HIDDEN = frozenset("script style noscript template iframe svg object canvas head title textarea select button datalist math audio video map".split())
+HIDDEN = frozenset("script style noscript template iframe canvas head title desc metadata textarea select button datalist annotation annotation-xml audio video".split())
 #: elements whose content is not parsed
 RAW = frozenset("script style textarea title xmp iframe noscript".split())
 #: elements that can stand in a head; anything else ends it, as does text
 IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes script style template".split())
 #: elements that run inside a line of text
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr "
+    "g tspan math maction menclose merror mfrac mfenced mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: start tags that end an open element, up to the nearest element of the last set
 CLOSES = {
     **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), ({"p"}, set())),
@@ -34,9 +38,22 @@ CLOSES = {
 }
 #: elements that an inner start tag of CLOSES never reaches across
 BARRIERS = frozenset("body html table td th li ul ol dl div section article main aside nav header footer form blockquote figure".split())
+#: the different rules of CLOSES
+RULES = [rule for k, rule in enumerate(CLOSES.values()) if rule not in list(CLOSES.values())[:k]]
+RULE = {tag: RULES.index(rule) for tag, rule in CLOSES.items()}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
+@lru_cache(4096)
+def _stopped(tag: str) -> tuple[int, ...]:
+    """The rules that reach no further than an open element of this tag."""
+    if tag in INLINE:
+        return ()
+    return tuple(k for k, (ended, barrier) in enumerate(RULES) if tag not in ended and (not barrier or tag in barrier or tag in BARRIERS))
+
+
+#: quotes count only where a value begins; one that is never closed is a character like others
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 DIGITS, CAPITALS = re.compile("[0-9]"), re.compile("[A-Z]")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -92,9 +109,15 @@ def parse(source: str) -> Page:
     """The page's tree.  Markup may be cut off, unclosed or wrongly nested; nothing is an error.
 
     An inline element without telling attributes is no element of its own: its text belongs to the block around it.
+
+    What an end tag or a start tag closes is looked up among the places of open elements by tag, so that the work grows with
+    the page and not with the number of elements left open.
     """
     page = Page()
     open_tags: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, element, hidden
+    places: dict[str, list[int]] = {}  # of open elements by tag
+    blocks: list[int] = []  # places of open elements that are not inline
+    stops: list[list[int]] = [[0] for _ in RULES]  # for each rule, places that it doesn't reach across
     at, links = 0, 0
 
     def say(text: str) -> None:
@@ -112,7 +135,11 @@ def parse(source: str) -> Page:
         nonlocal links
         tag, _, _ = open_tags.pop()
         links -= tag == "a"
+        places[tag].pop()
+        for rule in _stopped(tag):
+            stops[rule].pop()
         if tag not in INLINE:
+            blocks.pop()
             end_block()
 
     def end_head() -> None:
@@ -134,16 +161,13 @@ def parse(source: str) -> Page:
             continue
         tag, rest = token[2].lower(), token[3]
         if token[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _, _ in open_tags):
+            if tag in ("br", "p") and not places.get(tag):
                 end_block() if tag == "p" else say(" ")
-            for k in range(len(open_tags) - 1, 0, -1):
-                name = open_tags[k][0]
-                if name == tag:
-                    while len(open_tags) > k:
-                        close()
-                    break
-                if tag in INLINE and name not in INLINE:
-                    break  # an inline end tag doesn't end the block around it
+            # an inline end tag doesn't end the block around it
+            if places.get(tag) and not (tag in INLINE and blocks and blocks[-1] > places[tag][-1]):
+                k = places[tag][-1]
+                while len(open_tags) > k:
+                    close()
             continue
         if tag not in IN_HEAD:
             end_head()
@@ -154,14 +178,10 @@ def parse(source: str) -> Page:
                 end_block()
             continue
         if tag in CLOSES:
-            ended, barrier = CLOSES[tag]
-            k = len(open_tags) - 1
-            while k > 0 and (open_tags[k][0] in INLINE or open_tags[k][0] in ended or (barrier and open_tags[k][0] not in barrier and open_tags[k][0] not in BARRIERS)):
-                k -= 1
-            inner = [j for j in range(k + 1, len(open_tags)) if open_tags[j][0] in ended]
-            if inner:
-                while len(open_tags) > inner[0]:
-                    close()
+            reach = stops[RULE[tag]][-1]
+            inner = [at for t in CLOSES[tag][0] for at in places.get(t, ())[bisect_right(places.get(t, ()), reach) :][:1]]
+            while inner and len(open_tags) > min(inner):
+                close()
         kinds, declared = _attributes(rest) if rest.strip(" /") else (set(), False)
         hidden = open_tags[-1][2] or tag in HIDDEN or declared
         if tag in RAW:
@@ -182,6 +202,11 @@ def parse(source: str) -> Page:
             page.depth.append(page.depth[above] + 1)
             page.kinds.append(kinds)
         links += tag == "a"
+        places.setdefault(tag, []).append(len(open_tags))
+        for rule in _stopped(tag):
+            stops[rule].append(len(open_tags))
+        if tag not in INLINE:
+            blocks.append(len(open_tags))
         open_tags.append((tag, element, hidden))
     return page
 

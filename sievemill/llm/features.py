@@ -123,7 +123,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: i
     """Features, label and crc32 of the id of ``per_class`` labelled rows per class at most, chosen by a hash of the id.
 
     With ``folds``, rows whose crc32 of the id leaves ``fold`` are never taken.  Ids labelled both 0 and 1 are left out.  The
-    chosen ids are a bounded list; documents are filtered by it where they are read, and their features are computed there.
+    chosen ids are a bounded list; documents are filtered by it where they are read.  Of an id with several texts the one
+    with the least hash is taken (then the least text), so that no id crowds out others.  Rows come in the order of their id.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     if folds:
@@ -137,11 +138,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: i
         return np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(0, np.int64)
     picked = docs.where(F.col(id_col).isin(*chosen)).select(F.col(id_col).cast("bigint").alias("id"), F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")).alias("crc"), F.col(text_col).cast("string").alias("text"))
 
+    one = picked.groupBy("id", "crc").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [x.tobytes() for block in blocks(batch.column("text")) for x in block.astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("crc"), pa.array(rows, pa.binary())], names=["id", "crc", "x"])
 
-    rows = picked.mapInArrow(compute, "id bigint, crc bigint, x binary").dropDuplicates().orderBy("id", "x").limit(4 * per_class).collect()
+    rows = sorted(one.mapInArrow(compute, "id bigint, crc bigint, x binary").collect(), key=lambda r: r["id"])  # a row for each chosen id
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMS), np.float32)
     return x, np.array([chosen[r["id"]] for r in rows], dtype=float), np.array([r["crc"] for r in rows], dtype=np.int64)

@@ -51,14 +51,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank:
 
 
 def _score(counts: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest labelled vectors, computed exactly."""
+    """Similarity-weighted share of label 1 among the nearest labelled vectors, computed exactly.
+
+    Cosines are told apart in steps of 2^-20; of equally near vectors those of the smaller ids are nearest.
+    """
     vectors, labels = model["vectors"], model["labels"]
     if not len(vectors):
         return np.full(len(counts), model["share"])
     cosine = _unit(counts @ model["project"]) @ vectors.T
     k = min(neighbours, len(vectors))
-    nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0).astype(np.float64) ** SHARPNESS
+    steps = np.rint(cosine.astype(np.float64) * (1 << 20)).astype(np.int64)
+    place = np.arange(len(vectors) - 1, -1, -1)
+    nearest = np.argpartition(-(steps * len(vectors) + place), k - 1, axis=1)[:, :k]
+    weight = np.maximum(np.take_along_axis(steps, nearest, axis=1) / (1 << 20), 0) ** SHARPNESS
     total = weight.sum(axis=1)
     voted = (weight * labels[nearest]).sum(axis=1)
     return np.clip(np.divide(voted, total, out=np.full(len(counts), model["share"]), where=total > 0), 0, 1)
@@ -67,7 +72,7 @@ def _score(counts: np.ndarray, model: dict, neighbours: int) -> np.ndarray:
 def score(docs: DataFrame, model: dict, text_col: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from 0.5 on).
 
-    Only the text decides.  A null or empty text, or one that shares nothing with any neighbour, scores the share of label 1
+    Only the text decides, so repeated rows score alike; an empty table gives no rows.  A null or empty text, or one that shares nothing with any neighbour, scores the share of label 1
     among the labelled rows; so does every text where no label was learned (0.5 then).  Columns that have these names
     already keep them, and the new ones get an underscore.
     """
