@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from sievemill.llm.common import annotate
 
-#: code points in one piece
-CHUNK = 1 << 14
+#: code points in one piece, and bytes of text in one partition of the sort, about
+CHUNK, PART_BYTES = 1 << 14, 64 << 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: markers of each form in output order, and the place of what follows each in the text
 MARKS = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE), "plain": ()}
@@ -82,8 +82,9 @@ def assemble(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     of a row are dealt over as many partitions as they come from.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
+    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
 
     def emit(part: int, rows: Iterator) -> Iterator[tuple]:
         for doc_id, text in rows:
@@ -94,7 +95,7 @@ def assemble(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
             for at, piece in pieces_of(text, form, first, second, chunk):
                 yield (key, part, at), piece
 
-    return rows.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(n, _home)
+    return narrow.rdd.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(n, _home)
 
 
 def _documents(records: Iterator[tuple]) -> Iterator[tuple[tuple, int, tuple, Iterator[str]]]:
