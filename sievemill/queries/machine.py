@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import dedup as DD
 from sievemill.operators import ml as M
+from sievemill.operators.density import dbscan
 from sievemill.operators.neighbours import knn
 from sievemill.plans import workflow as W
 from sievemill.queries.profiling import rounded
@@ -106,6 +107,33 @@ def cluster_embeddings(t):
     return model.transform(df).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _density_sql(table, key, x, y, eps, least):
+    """Core points, clusters and border points by all distances."""
+    return f"""
+    with recursive p as (select {key} as k, {x} as x, {y} as y from {table}),
+      near as (select a.k as a, b.k as b from p a join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps}::double * {eps}::double),
+      core as (select a as k from near group by a having count(*) >= {least}),
+      links as (select a, b from near where a in (select k from core) and b in (select k from core)),
+      reach(a, b) as (select k, k from core union select r.a, l.b from reach r join links l on l.a = r.b),
+      named as (select b as k, min(a) as cluster from reach group by b),
+      beside as (select n.a as k, min(m.cluster) as cluster from near n join named m on m.k = n.b group by n.a)
+    select p.k as {key}, m.k is not null as core, coalesce(m.cluster, b.cluster) as cluster
+    from p left join named m using (k) left join beside b using (k)"""
+
+
+@query("dbscan_customer", _density_sql("customer", "c_custkey", "c_acctbal::double / 1000", "c_nationkey::double", 0.3, 5))
+def dbscan_customer(t):
+    """Customers of a nation with balances close to each other."""
+    near = t.customer.select("c_custkey", (F.col("c_acctbal").cast("double") / 1000).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    return dbscan(near, "c_custkey", ["balance", "nation"], 0.3, 5)
+
+
+@query("dbscan_embeddings", _density_sql("embeddings", "vec_id", "embedding[1]::double", "embedding[2]::double", 0.02, 4))
+def dbscan_embeddings(t):
+    near = t.embeddings.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return dbscan(near, "vec_id", ["x", "y"], 0.02, 4)
+
+
 @query("fuzzy_dedup_documents")
 def fuzzy_dedup_documents(t):
     """Checked against brute force over whole texts in the tests; SQL has no such similarity."""

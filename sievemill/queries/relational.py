@@ -10,6 +10,11 @@ from sievemill.queries.registry import query
 AS_OF = "2024-01-31 00:00:00"
 
 
+def placed(ordered):
+    """A sorted table with each row's place; partitions of a sorted table are numbered in its order."""
+    return O.ordered_scan(ordered.withColumn("_at", F.monotonically_increasing_id()), ["_at"], number="place").drop("_at")
+
+
 @query("search_customer", "select c_custkey, c_name, c_mktsegment from customer where lower(c_mktsegment) like '%build%' or lower(c_name) like '%build%'")
 def search_customer(t):
     return R.search(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "Build", ["c_name", "c_mktsegment"])
@@ -120,11 +125,20 @@ def page_orders(t):
 
 
 @query("sort_labels", """
-    select d.doc_id, coalesce(l.quality, 0) as rating from documents d left join labels l using (doc_id)
-    order by 2 desc, 1 limit 100""")
+    select d.doc_id, l.quality as rating, row_number() over (order by l.quality desc nulls last, d.doc_id) as place
+    from documents d left join labels l using (doc_id)""")
 def sort_labels(t):
+    """All rows with their place; those without a rating come last."""
+    rated = t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").alias("rating")), "doc_id", "left")
+    return placed(R.sort(rated, "rating", ascending=False, tie="doc_id"))
+
+
+@query("sort_labels_filled", """
+    select d.doc_id, coalesce(l.quality, 0) as rating, row_number() over (order by coalesce(l.quality, 0), d.doc_id) as place
+    from documents d left join labels l using (doc_id)""")
+def sort_labels_filled(t):
     rated = t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").alias("rating")), "doc_id", "left")
-    return R.sort(rated.na.fill(0, ["rating"]), "rating", ascending=False, missing=0, tie="doc_id").limit(100)
+    return placed(R.sort(rated, "rating", missing=0, tie="doc_id")).withColumn("rating", F.coalesce("rating", F.lit(0).cast("bigint")))
 
 
 @query("orphans_customer", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")

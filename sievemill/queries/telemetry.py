@@ -13,6 +13,7 @@ from sievemill.streaming import logs as L
 from sievemill.streaming import metrics as M
 from sievemill.streaming import rules as RS
 from sievemill.streaming import run as S
+from sievemill.streaming import sketches as SK
 
 AS_OF = "2024-01-30 12:00:00"
 
@@ -296,11 +297,69 @@ def stream_clean(t):
     return S.run_to_end(K.trim_text(messy).withColumn("user_id", short_hash(F.col("user_id"))))
 
 
-@query("stream_active_users")
+_TRAILING_USERS = """
+    with h as (select distinct time_bucket(interval 1 hour, ts) + interval 1 hour as cell, user_id from events),
+      w as (select cell + to_hours(i) as window_end, user_id from h, range(24) r(i))
+    select window_end, count(distinct user_id) as users, true as close from w group by 1"""
+
+
+def _users_checked(cells, events):
+    """Estimated users of the last 24 hours at every hour, beside the true number and whether they are close."""
+    found = SK.trailing(cells, "24 hours", "1 hour").select("window_end", F.col("users").alias("estimate"))
+    hours = events.select((F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.expr("interval 1 hour")).alias("cell"), "user_id").distinct()
+    ends = F.explode(F.sequence("cell", F.col("cell") + F.expr("interval 23 hours"), F.expr("interval 1 hour"))).alias("window_end")
+    true = hours.select(ends, "user_id").distinct().groupBy("window_end").agg(F.count("user_id").alias("users"))
+    close = F.abs(F.col("estimate") - F.col("users")) <= F.col("users") * SK.DISTINCT_ERROR + 1
+    return true.join(found, "window_end", "left").select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "users", F.coalesce(close, F.lit(False)).alias("close"))
+
+
+@query("active_users_trailing", _TRAILING_USERS)
+def active_users_trailing(t):
+    return _users_checked(SK.cells(t.events, "1 hour", user="user_id"), t.events)
+
+
+@query("stream_active_users", _TRAILING_USERS)
 def stream_active_users(t):
-    """Approximate distinct users per day."""
-    out = S.run_to_end(L.active_users(event_stream(t), 24, exact=False), "complete")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "active_users")
+    """Hourly sketches kept by a stream, merged over the last 24 hours at every hour."""
+    return _users_checked(S.run_to_end(SK.cells(event_stream(t), "1 hour", user="user_id"), "complete"), t.events)
+
+
+_SIZES = {"1 hour": "10 minutes", "6 hours": "1 hour", "24 hours": "1 hour"}
+_TRAILING_QUANTILES = " union all ".join(f"""
+    select window_end, event_type, '{size}' as size, count(*) as n, round(sum(value), 4) as total, min(value) as least, max(value) as greatest, arg_max(value, ts) as last, true as close
+    from (select time_bucket(interval {step}, ts) + interval {step} * (1 + i) as window_end, event_type, value, ts from events, range({steps}) r(i))
+    group by 1, 2""" for (size, step), steps in zip(_SIZES.items(), (6, 6, 24)))
+
+
+def _quantiles_checked(cells, events):
+    """Trailing windows of three sizes per event type; ``close`` says whether the ranks of p50, p95 and p99 are within the bound."""
+    found = SK.trailing_sizes(cells, _SIZES, ["event_type"])
+    parts = []
+    for size, step in _SIZES.items():
+        cell = F.window(F.col("ts").cast("timestamp"), step)["end"]
+        ends = F.explode(F.sequence(cell, cell + F.expr(f"interval {size}") - F.expr(f"interval {step}"), F.expr(f"interval {step}"))).alias("window_end")
+        parts.append(events.select("event_type", F.col("value").cast("double").alias("value"), ends).withColumn("size", F.lit(size)))
+    points = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keys = ["window_end", "event_type", "size"]
+    joined = points.join(found, keys)
+    close = F.lit(True)
+    for r in (0.5, 0.95, 0.99):
+        p = f"p{round(r * 100)}"
+        below, upto = F.avg((F.col("value") < F.col(p)).cast("int")), F.avg((F.col("value") <= F.col(p)).cast("int"))
+        close = close & (below <= r + SK.RANK_ERROR) & (upto >= r - SK.RANK_ERROR)
+    ranked = joined.groupBy(*keys).agg(close.alias("close"))
+    out = found.join(ranked, keys, "left").select(*keys, "n", "total", "least", "greatest", "last", F.coalesce("close", F.lit(False)).alias("close"))
+    return rounded(out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz")), "total")
+
+
+@query("metric_trailing_quantiles", _TRAILING_QUANTILES)
+def metric_trailing_quantiles(t):
+    return _quantiles_checked(SK.cells(t.events, "10 minutes", ["event_type"], value="value"), t.events)
+
+
+@query("stream_metric_trailing_quantiles", _TRAILING_QUANTILES)
+def stream_metric_trailing_quantiles(t):
+    return _quantiles_checked(S.run_to_end(SK.cells(event_stream(t), "10 minutes", ["event_type"], value="value"), "complete"), t.events)
 
 
 # --- watches over a stream of entries --------------------------------------------------------------
