@@ -4,7 +4,8 @@ In each pass every vector gets a word of random hyperplane signs; vectors are or
 with a bounded number of its successors.  Vectors at a small angle agree on the first signs more often than not, so a few
 passes bring almost every such pair together once.  Their number grows with the rows.  What they find is held against
 all links of some vectors; while too many are missed, as in a crowd that the planes leave together, passes double, and
-their planes go through the vectors that miss links.  Where passes would cost more than all pairs, all pairs are compared.
+their planes go through the vectors that miss links.  That is so at every size; only where the next doubling would cost more
+than all pairs, and links are still missed, all pairs are compared.
 Verified pairs are united over all passes.  Within the components, links are then counted exactly, by blocked products,
 so that windows set no bound on a vector's links.
 """
@@ -31,7 +32,7 @@ PASSES, SIGNS, WINDOW, BLOCK = 12, 62, 64, 512
 #: members of a component that one product holds on either side
 MEMBERS = 1024
 #: chance that a pair at LIMIT is met in evenly spread vectors; vectors whose links are all looked up, share of these to be found
-MET, PROBES, FOUND = 0.999, 2048, 0.99
+MET, PROBES, FOUND = 0.999, 2048, 0.999
 
 
 def _unit(rows: pa.Array) -> np.ndarray:
@@ -195,10 +196,10 @@ def _probe(classes: DataFrame, limit: float) -> tuple[dict[int, np.ndarray], Dat
 
 
 def _roots(classes: DataFrame, limit: float, passes: int, signs: int, window: int) -> DataFrame:
-    """Components (id, root) of the links: by passes, more of them while probes miss links, or by all pairs where these cost less."""
+    """Components (id, root) of the links: by passes, more of them while probes miss links; the rest by all pairs once these cost less."""
     rows = classes.count()
     due, done, edges, probed, points = passes_for(rows, limit, window, passes), 0, None, None, {}
-    while rows > 2 * due * BLOCK:
+    while True:
         new = stored(_candidates(classes, limit, range(done, due), signs, window, points))
         edges = new if edges is None else edges.union(new)
         roots = stored(components(edges))
@@ -214,7 +215,8 @@ def _roots(classes: DataFrame, limit: float, passes: int, signs: int, window: in
             points.setdefault(len(probed[0][r]), []).append(probed[0][r])
         points = {size: np.array(group) for size, group in points.items()}
         done, due = due, 2 * due
-    return stored(components(_all_pairs(classes, limit)))
+        if rows <= 2 * due * BLOCK:
+            return stored(components(_all_pairs(classes, limit)))
 
 
 def _exact_links(classes: DataFrame, roots: DataFrame, limit: float) -> DataFrame:

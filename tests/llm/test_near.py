@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from sievemill.llm import chunks, embeddings, simhash
 from sievemill.llm.common import components
+from tests.conftest import DATA
 
 
 def smallest_reached(n, pairs, names):
@@ -284,3 +285,25 @@ def test_odd_documents_by_chunks(odd_documents):
     assert by[5, 60_000]["n_removed"] < 60_000 and by[6, 60_000]["n_removed"] == 60_000 and by[6, 60_000]["text"] == ""
     assert all(r["score"] == 0.25 and r["_key"] == -1 and r["offset"] == "x" for r in rows)
     assert chunks.drop_repeats(odd_documents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_given_vectors_by_passes_alone(spark, monkeypatch, sf):
+    """The given vectors and a copy of each, from equal to just below the limit."""
+    def never(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(embeddings, "_all_pairs", never)
+    given = spark.read.parquet(DATA.replace("0.001", sf) + "/embeddings.parquet").select("vec_id", "embedding").collect()
+    rng = np.random.default_rng(7)
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float32)) for r in given]
+    rows += [(10**6 + i, (v + rng.normal(size=len(v)) * np.linalg.norm(v) / np.sqrt(len(v)) * 0.35 * rng.random()).astype(np.float32)) for i, v in rows]
+    unit = np.stack([v.astype(float) / np.sqrt((v.astype(float) ** 2).sum()) for _, v in rows])
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    names = [i for i, _ in rows]
+    root = smallest_reached(len(rows), list(zip(*map(list, np.nonzero(near)))), names)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
+    assert got == {i: (int(n), c) for i, n, c in zip(names, near.sum(axis=1), root)}
+    assert len(given) < near.sum() < 2 * len(given)
