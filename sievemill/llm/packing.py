@@ -20,14 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import STEP_BYTES, stored, worker_store
+from sievemill.llm.common import stored, worker_store
 from sievemill.llm.features import SPACE
 
 CAPACITY = 2048
 #: id that ends each document
 END = 0
 #: distinct words a worker keeps, and pieces that share one rank group of a length
-KEPT_WORDS, GROUP_PIECES = 800_000, 100_000
+KEPT_WORDS, GROUP_PIECES = 400_000, 100_000
+#: bytes of text encoded at once; a step's arrays take some forty times as much
+WORD_STEP = 1 << 20
 
 
 def _words(column: pa.Array, special: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -52,7 +54,7 @@ def _words(column: pa.Array, special: list[bytes]) -> tuple[pa.DictionaryArray,
     marks = np.flatnonzero(last & ~first & ((data == ord(".")) | (data == ord(","))))
     first[marks[(data[marks - 1] >= ord("a")) & (data[marks - 1] <= ord("z"))]] = True
     starts = np.flatnonzero(first)
-    letters = np.cumsum(inside)
+    letters = np.cumsum(inside, dtype=np.int32 if len(inside) < 1 << 31 else np.int64)
     offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     return words.dictionary_encode(), np.diff(np.searchsorted(starts, ends - ends[0]))
@@ -134,7 +136,7 @@ class WordIds:
         return self.flat[take], total[last]
 
 
-def slices(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, limit: int = WORD_STEP) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive parts of a string column, about ``limit`` bytes each, with the first one's index; a longer text is a part of its own."""
     size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
     first = 0
