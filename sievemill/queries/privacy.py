@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievemill.operators import privacy as V
+from sievemill.operators.closeness import ordered_distances, t_close_ordered
 from sievemill.queries.profiling import rounded
 from sievemill.queries.registry import query
 
@@ -89,6 +90,24 @@ def t_closeness_customer(t):
     return V.t_close(t.customer, ["c_nationkey"], "c_mktsegment", 0.1).select("c_custkey")
 
 
+_ORDERED = """
+    with v as (select c_acctbal s, row_number() over (order by c_acctbal) as i, sum(count(*)) over (order by c_acctbal) * 1.0::double / (select count(*) from customer) as q from customer group by 1),
+      cl as (select c_nationkey k, count(*) n from customer group by 1),
+      x as (select c_nationkey k, c_acctbal s, count(*) c from customer group by all),
+      p as (select cl.k, v.i, v.q, sum(coalesce(x.c, 0)) over (partition by cl.k order by v.i) * 1.0::double / cl.n as p from cl join v on true left join x on x.k = cl.k and x.s = v.s),
+      d as (select k, sum(abs(p - q)) / (select count(*) - 1 from v) as t from p group by k)"""
+
+
+@query("ordered_distance_customer", _ORDERED + " select k as c_nationkey, round(t, 9) as t from d")
+def ordered_distance_customer(t):
+    return ordered_distances(t.customer, ["c_nationkey"], "c_acctbal").select(F.col("_q_c_nationkey").alias("c_nationkey"), F.round("_t", 9).alias("t"))
+
+
+@query("t_closeness_ordered_customer", _ORDERED + " select c_custkey from customer where c_nationkey in (select k from d where t <= 0.05)")
+def t_closeness_ordered_customer(t):
+    return t_close_ordered(t.customer, ["c_nationkey"], "c_acctbal", 0.05).select("c_custkey")
+
+
 def _bits(stream, key="c_custkey", seed=42):
     return f"('0x' || substr(md5('{seed}:{stream}:' || {key}), 1, 13))::bigint"
 

@@ -1,5 +1,7 @@
 """Telemetry queries: logs, metrics, alerts and rule streams, in batch and as streams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievemill.functions.columns import short_hash
@@ -8,8 +10,10 @@ from sievemill.operators.relational import slow
 from sievemill.plans.rules import parse_rule
 from sievemill.queries.profiling import rounded
 from sievemill.queries.registry import ORACLES, query
+from sievemill.session import shared_dir
 from sievemill.streaming import batches as B
 from sievemill.streaming import logs as L
+from sievemill.streaming.late import split_late
 from sievemill.streaming import metrics as M
 from sievemill.streaming import rules as RS
 from sievemill.streaming import run as S
@@ -429,3 +433,33 @@ def stream_metric_rollups(t):
         one = one.select(F.lit(size).alias("size"), "name", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "count", "avg", "min", "max")
         out = one if out is None else out.unionByName(one)
     return rounded(out, "avg", n=9)
+
+
+_ARRIVALS = """
+    with a as (select *, least(4, greatest(0, date_diff('day', date '2024-01-01', ts::date) // 6 + case when event_id % 7 = 0 then 1 else 0 end)) as epoch from events),
+    m as (select epoch, max(max(ts)) over (order by epoch rows between unbounded preceding and 1 preceding) - interval 1 day as mark from a group by epoch),
+    r as (select a.*, mark, coalesce(ts < mark, false) as late from a join m using (epoch))"""
+
+
+def late_parts(t):
+    """The events in five arrivals of six days each, one trigger after another; every seventh comes an arrival too late."""
+    place = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    came = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(place / 6) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)))
+    folder = f"{shared_dir(t.spark)}/arrivals-{uuid.uuid4().hex}"
+    out = None
+    for arrival in range(5):
+        t.events.where(came == arrival).write.mode("append").parquet(f"{folder}/in")
+        out = split_late(S.stream_table(t.spark, f"{folder}/in", "*.parquet", t.events.schema), "ts", "1 day", f"{folder}/out")
+    return out
+
+
+@query("stream_late_rows", _ARRIVALS + " select event_id, ts, user_id, event_type, value, epoch, late from r")
+def stream_late_rows(t):
+    in_time, late, _ = late_parts(t)
+    both = in_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "epoch", "late")
+
+
+@query("stream_late_counts", _ARRIVALS + " select epoch, mark, count_if(not late)::bigint as on_time, count_if(late)::bigint as late from r group by epoch, mark")
+def stream_late_counts(t):
+    return late_parts(t)[2].withColumn("mark", F.col("mark").cast("timestamp_ntz"))
