@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
 from sievemill.operators.ordered import gaps, ordered_scan, frequency_label
-from sievemill.operators.profile import family, iqr_bounds, outside, top_values
+from sievemill.operators.profile import distinct_counts, family, iqr_bounds, outside, top_values
 from sievemill.operators.quantiles import exact_quantiles
 
 
@@ -187,7 +187,7 @@ def analyze_patterns(df: DataFrame, distributions: bool = True) -> dict[str, dic
     for i, c in enumerate(df.columns):
         aggs += [F.count(c).alias(f"n_{i}")]
         if fams[c] != "nested":
-            aggs += [F.count_distinct(F.col(c)).alias(f"d_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}")]
+            aggs += [F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}")]
         if fams[c] == "boolean":
             aggs += [F.count_if(F.col(c)).alias(f"true_{i}")]
         if c in nums:
@@ -209,6 +209,8 @@ def analyze_patterns(df: DataFrame, distributions: bool = True) -> dict[str, dic
                 F.min(flipped).alias(f"rlo_{i}"), F.max(flipped).alias(f"rhi_{i}"),
             ]
     row = C.with_readings(df, texts).agg(*aggs).first()
+    flat = {f"d_{i}": [c] for i, c in enumerate(df.columns) if fams[c] != "nested"}
+    distinct = distinct_counts(df, flat).first() if flat else None
     out: dict[str, dict] = {}
     as_number: list[str] = []
     categories: list[str] = []
@@ -222,12 +224,12 @@ def analyze_patterns(df: DataFrame, distributions: bool = True) -> dict[str, dic
             out[c] = {"type": "nested", **base}
             continue
         lo, hi = row[f"lo_{i}"], row[f"hi_{i}"]
-        base["unique_count"] = row[f"d_{i}"]
+        base["unique_count"] = distinct[f"d_{i}"]
         if fams[c] == "boolean":
             out[c] = {"type": "boolean", **base, "true_count": row[f"true_{i}"], "false_count": n - row[f"true_{i}"], "representation": True}
         elif fams[c] == "datetime":
             out[c] = {"type": "datetime", **base, "min_date": str(lo), "max_date": str(hi)}
-        elif fams[c] == "string" and row[f"d_{i}"] <= 2 and any({lo, hi} <= set(p) for p in BOOLEAN_PAIRS):
+        elif fams[c] == "string" and distinct[f"d_{i}"] <= 2 and any({lo, hi} <= set(p) for p in BOOLEAN_PAIRS):
             yes = next(p[0] for p in BOOLEAN_PAIRS if {lo, hi} <= set(p))
             out[c] = {"type": "boolean", **base, "representation": yes}
             categories.append(c)
@@ -236,7 +238,7 @@ def analyze_patterns(df: DataFrame, distributions: bool = True) -> dict[str, dic
             as_number.append(c)
         elif row[f"ts_{i}"]:
             out[c] = {"type": "datetime", **base, "min_date": str(row[f"tlo_{i}"]), "max_date": str(row[f"thi_{i}"])}
-        elif row[f"d_{i}"] < 0.5 * n:
+        elif distinct[f"d_{i}"] < 0.5 * n:
             out[c] = {"type": "categorical", **base}
             categories.append(c)
         else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import columns as C
 from sievemill.functions import rng
 from sievemill.operators.ordered import ordered_scan
-from sievemill.operators.profile import value_counts
+from sievemill.operators.profile import distinct_counts, value_counts
 from sievemill.session import stored
 
 # --- fixed values: name parts of personal, health and card columns ------------------------------
@@ -99,7 +99,7 @@ def _generalize(df: DataFrame, cols: Sequence[str], k: int, bins: int, other: st
 
 
 def _distinct_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(c)).alias(f"d_{i}") for i, c in enumerate(df.columns)]).first()
+    row = C.beside(df.agg(F.count(F.lit(1)).alias("n")), distinct_counts(df, {f"d_{i}": [c] for i, c in enumerate(df.columns)})).first()
     return row["n"], {c: row[f"d_{i}"] for i, c in enumerate(df.columns)}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,30 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_counts(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row with a column per group of columns: how many distinct values, or combinations of values, it has.
+
+    Nulls do not count in a group of one column; in larger groups a null equals a null.  All groups are counted in one
+    shuffle of (group, 128-bit digest), combined in the map tasks, so no value moves and no row has a slot per column.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def read(c: str) -> Column:
+        if isinstance(kinds[c], (T.FloatType, T.DoubleType)):
+            return F.col(c) + F.lit(0.0).cast(kinds[c])  # -0.0 is 0.0
+        # hashes pass over nulls inside of nested values
+        return F.to_json(c, {"ignoreNullFields": "false"}) if isinstance(kinds[c], (T.ArrayType, T.StructType, T.MapType)) else F.col(c)
+
+    cells = []
+    for i, cols in enumerate(groups.values()):
+        parts = [read(c) for c in cols] if len(cols) == 1 else [p for c in cols for p in (read(c), F.col(c).isNull())]
+        cell = F.struct(F.lit(i).alias("at"), F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+        cells.append(F.when(F.col(cols[0]).isNotNull(), cell) if len(cols) == 1 else cell)
+    long = df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    found = long.groupBy("at", "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("at") == i, F.col("n"))), F.lit(0)).cast("bigint").alias(name) for i, name in enumerate(groups)])
+
+
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """The ``k`` most frequent values per column; ties go to the smaller text.
 
@@ -109,8 +133,7 @@ def profile(df: DataFrame, approx: bool = False, k: int = 5) -> DataFrame:
     quart = exact_quantiles(df, nums, [0.25, 0.5, 0.75])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
-        distinct = F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
-        aggs += [F.count(c).alias(f"n_{i}"), distinct.alias(f"d_{i}")]
+        aggs += [F.count(c).alias(f"n_{i}")] + ([F.approx_count_distinct(c).alias(f"d_{i}")] if approx else [])
         if c in nums:
             x = F.col(c).cast("double")
             q1, _, q3 = quart[c]
@@ -135,7 +158,10 @@ def profile(df: DataFrame, approx: bool = False, k: int = 5) -> DataFrame:
             only("lo").alias("min"), only("hi").alias("max"), only("a").alias("mean"), median.alias("median"),
             only("s").alias("std"), only("o", "bigint").alias("outliers"),
         ))
-    facts = C.stack_rows(df.agg(*aggs), structs)
+    one = df.agg(*aggs)
+    if not approx:
+        one = C.beside(one, distinct_counts(df, {f"d_{i}": [c] for i, c in enumerate(cols)}))
+    facts = C.stack_rows(one, structs)
     if not texts:
         return facts.withColumn("top_values", F.lit(None).cast("map<string,bigint>"))
     tops = top_values(df, texts, k).groupBy("column").agg(
@@ -156,15 +182,25 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return counted.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
+def spare_name(name: str, taken: Sequence[str]) -> str:
+    """``name`` with as many underscores before it as it takes to be none of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """Dataset score: 0.4 mean column score + 0.4 completeness + 0.2 (100 - duplicate %)."""
     cols = df.columns
     facts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-        *[F.count_distinct(F.col(c)).alias(f"d_{i}") for i, c in enumerate(cols)],
     )
-    joined = C.beside(facts, duplicate_count(df))
+    # the last group is the whole row, with a constant beside it so that a single column counts as a row too
+    whole = spare_name("_one", cols)
+    distinct = distinct_counts(df.withColumn(whole, F.lit(1)), {f"d_{i}": [c] for i, c in enumerate(cols)} | {"different": [*cols, whole]})
+    joined = C.beside(facts, distinct).withColumn("duplicates", F.col("rows") - F.col("different"))
     rows = F.col("rows")
     scores = [column_score((rows - F.col(f"n_{i}")) / rows * 100, F.col(f"d_{i}") / rows * 100) for i in range(len(cols))]
     mean_score = sum(scores[1:], scores[0]) / len(cols)
