@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievemill.functions import columns as C
+from sievemill.operators.closeness import ordered_distances
 from sievemill.operators.quantiles import exact_quantiles
 
 
@@ -454,13 +455,13 @@ def table_statistics(df: DataFrame) -> DataFrame:
     return base.withColumns({"q25": pick(0), "q75": pick(1)})
 
 
-def privacy_metrics(df: DataFrame, qi: Sequence[str], sensitive: str) -> DataFrame:
+def privacy_metrics(df: DataFrame, qi: Sequence[str], sensitive: str, ordered: bool = False) -> DataFrame:
     """Measured privacy: smallest class k, smallest distinct-sensitive count l, largest distance t,
     share of rows alone in their class.
 
     t is the largest total-variation distance between a class's distribution of the sensitive value
     and the table's.  Values a class lacks enter through 1 - sum(global share of the values it has),
-    so classes are never crossed with all values.
+    so classes are never crossed with all values.  ``ordered`` takes the ordered distance of numbers instead.
     """
     qi = list(qi)
     cells = df.groupBy(*qi, sensitive).agg(F.count(F.lit(1)).alias("n"))
@@ -479,7 +480,10 @@ def privacy_metrics(df: DataFrame, qi: Sequence[str], sensitive: str) -> DataFra
         F.max("size").alias("size"), F.max("l").alias("l"),
         ((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias("t"),
     )
-    return per_class.agg(
+    out = per_class.agg(
         F.min("size").alias("k"), F.min("l").alias("l"), F.max("t").alias("t"),
         (F.sum(F.when(F.col("size") == 1, 1).otherwise(0)) / F.lit(rows)).alias("unique_share"),
     )
+    if not ordered:
+        return out
+    return C.beside(out.drop("t"), ordered_distances(df, qi, sensitive).agg(F.max("_t").alias("t"))).select("k", "l", "t", "unique_share")

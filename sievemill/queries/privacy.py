@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sievemill.operators import privacy as V
 from sievemill.operators.closeness import ordered_distances, t_close_ordered
+from sievemill.operators.profile import privacy_metrics
 from sievemill.queries.profiling import rounded
 from sievemill.queries.registry import query
 
@@ -103,6 +104,13 @@ def ordered_distance_customer(t):
     return ordered_distances(t.customer, ["c_nationkey"], "c_acctbal").select(F.col("_q_c_nationkey").alias("c_nationkey"), F.round("_t", 9).alias("t"))
 
 
+@query("privacy_metrics_ordered_customer", _ORDERED + """,
+    g as (select c_nationkey, count(*) n, count(distinct c_acctbal) as l from customer group by 1)
+    select min(n) as k, min(l) as l, (select round(max(t), 9) from d) as t, sum(case when n = 1 then 1.0::double else 0 end) / (select count(*) from customer) as unique_share from g""")
+def privacy_metrics_ordered_customer(t):
+    return rounded(privacy_metrics(t.customer, ["c_nationkey"], "c_acctbal", ordered=True), "t", n=9)
+
+
 @query("t_closeness_ordered_customer", _ORDERED + " select c_custkey from customer where c_nationkey in (select k from d where t <= 0.05)")
 def t_closeness_ordered_customer(t):
     return t_close_ordered(t.customer, ["c_nationkey"], "c_acctbal", 0.05).select("c_custkey")
