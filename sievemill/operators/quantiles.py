@@ -3,7 +3,7 @@
 Spark's ``percentile`` keeps one entry per distinct value, so it is used only for columns whose
 distinct count is within the limit.  Other columns are narrowed by counting: a pass counts rows in
 equal-width bins of the current bracket, keeps the bin that holds the wanted rank, and repeats
-until the bracket is small.  Every pass is a scan with a partial aggregate; no rows are moved.
+until the bracket is small.  Every pass is one scan with a partial aggregate for all such columns; no rows are moved.
 Results follow the linear interpolation between order statistics.
 """
 
@@ -40,79 +40,100 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
         row = typed.agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(light)]).first()
         for i, c in enumerate(light):
             out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    for i, c in enumerate(cols):
-        if c not in out:
-            out[c] = _by_counting(typed.select(F.col(c).alias("v")).where(F.col("v").isNotNull()), sizes[f"n{i}"], probs, bound)
+    heavy = [i for i, c in enumerate(cols) if c not in out]
+    if heavy:
+        out |= _by_counting(typed, {cols[i]: sizes[f"n{i}"] for i in heavy}, probs, bound)
     return out
 
 
-def _by_counting(values: DataFrame, n: int, probs: Sequence[float], bound: int) -> list[float]:
-    """Order as Spark's: minus infinity, numbers, infinity, NaN.  Only the numbers are narrowed."""
-    ranks = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    inf = float("inf")
-    finite = ~F.isnan("v") & (F.abs("v") < F.lit(inf))
-    ends = values.agg(
-        F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"), F.count_if(F.col("v") == F.lit(-inf)).alias("under"),
-        F.count_if(F.col("v") == F.lit(inf)).alias("over"), F.count_if(F.isnan("v")).alias("nan"),
-    ).first()
-    first, last = ends["under"], n - ends["nan"] - ends["over"]
-    found: dict[int, float] = {r: -inf if r < first else inf if r < n - ends["nan"] else float("nan") for r in ranks if not first <= r < last}
-    ranks = [r for r in ranks if r not in found]
-    values = values.where(finite)
-    # bracket -> (rows below it, ranks wanted in it)
-    open_brackets = {(ends["lo"], ends["hi"]): (first, ranks)} if ranks else {}
+def _ranks(n: int, probs: Sequence[float]) -> list[int]:
+    return sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+
+
+def _by_counting(typed: DataFrame, sizes: Mapping[str, int], probs: Sequence[float], bound: int) -> dict[str, list[float]]:
+    """Quantiles of all the columns in ``sizes`` (column -> values) at once: each pass reads the table once, however many are open.
+
+    Order as Spark's: minus infinity, numbers, infinity, NaN.  Only the numbers are narrowed.  The driver sees at most
+    columns x ranks x bins counts a pass, and at the end one value per column and rank.
+    """
+    cols, inf = list(sizes), float("inf")
+    facts = []
+    for i, c in enumerate(cols):
+        number = F.when(~F.isnan(c) & (F.abs(c) < F.lit(inf)), F.col(c))
+        facts += [
+            F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.count_if(F.col(c) == F.lit(-inf)).alias(f"under{i}"),
+            F.count_if(F.col(c) == F.lit(inf)).alias(f"over{i}"), F.count_if(F.isnan(c)).alias(f"nan{i}"),
+        ]
+    ends = typed.agg(*facts).first()
+    found: dict[str, dict[int, float]] = {}
+    # (column, lowest, highest value) -> (rows below it, ranks wanted in it)
+    open_brackets: dict[tuple[str, float, float], tuple[int, list[int]]] = {}
+    small: dict[tuple[str, float, float], tuple[int, list[int]]] = {}
+    for i, (c, n) in enumerate(sizes.items()):
+        first, above = ends[f"under{i}"], n - ends[f"nan{i}"]
+        last = above - ends[f"over{i}"]
+        ranks = _ranks(n, probs)
+        found[c] = {r: -inf if r < first else inf if r < above else float("nan") for r in ranks if not first <= r < last}
+        if inside := [r for r in ranks if first <= r < last]:
+            open_brackets[(c, ends[f"lo{i}"], ends[f"hi{i}"])] = (first, inside)
     few = min(bound, 10_000)
     while open_brackets:
-        tagged, lo, width = None, None, None
-        listed = list(open_brackets.items())
-        for i, ((a, b), _) in enumerate(listed):
-            test = F.col("v").between(a, b)
-            span = max(b / _BINS - a / _BINS, 5e-324)
-            tagged = F.when(test, F.lit(i)) if tagged is None else tagged.when(test, F.lit(i))
-            lo = F.when(test, F.lit(a)) if lo is None else lo.when(test, F.lit(a))
-            width = F.when(test, F.lit(span)) if width is None else width.when(test, F.lit(span))
-        binned = values.select("v", tagged.alias("t"), F.floor((F.col("v") - lo) / width).alias("b"))
+        brackets = list(open_brackets)
+        below = [base for base, _ in open_brackets.values()]
         counted = (
-            binned.where(F.col("t").isNotNull()).groupBy("t", "b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("t", "lo").collect()  # at most brackets x bins rows
+            _in_brackets(typed, brackets).groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
         )
-        after: dict[tuple[float, float], tuple[int, list[int]]] = {}
-        fetch: list[tuple[float, float, int, list[int]]] = []
-        below = [base for _, (base, _) in listed]
-        for row in counted:
+        after: dict[tuple[str, float, float], tuple[int, list[int]]] = {}
+        for row in sorted(counted, key=lambda r: (r["t"], r["lo"])):
             base = below[row["t"]]
             below[row["t"]] += row["n"]
-            here = [r for r in listed[row["t"]][1][1] if base <= r < base + row["n"]]
+            c = brackets[row["t"]][0]
+            here = [r for r in open_brackets[brackets[row["t"]]][1] if base <= r < base + row["n"]]
             if not here:
                 continue
             if row["lo"] == row["hi"]:
-                found.update({r: row["lo"] for r in here})
-            elif row["n"] <= few:
-                fetch.append((row["lo"], row["hi"], base, here))
+                found[c].update({r: row["lo"] for r in here})
             else:
-                after[(row["lo"], row["hi"])] = (base, here)
-        if fetch:
-            found.update(_fetch(values, fetch))
+                (small if row["n"] <= few else after)[(c, row["lo"], row["hi"])] = (base, here)
         open_brackets = after
-    out = []
-    for p in probs:
-        at = p * (n - 1)
-        a, b, share = found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)
-        if a == b or share == 0:
-            out.append(a)
-        else:
-            out.append(a + (b - a) * share if math.isfinite(b - a) else (1 - share) * a + share * b)
-    return out
+    if small:
+        _pick(typed, small, found)
+    return {c: [_between(found[c], p * (n - 1)) for p in probs] for c, n in sizes.items()}
+
+
+def _in_brackets(typed: DataFrame, brackets: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """(t, v, b): values that lie in a bracket, its place in the list and the bin inside it; brackets of a column do not overlap."""
+    mine: dict[str, list[int]] = {}
+    for t, (c, _, _) in enumerate(brackets):
+        mine.setdefault(c, []).append(t)
+    cells = []
+    for c, places in mine.items():
+        tag, low, width = F, F, F  # each grows into a chain of conditions
+        for t in places:
+            _, a, b = brackets[t]
+            test = F.col(c).between(F.lit(a), F.lit(b))
+            tag, low = tag.when(test, F.lit(t)), low.when(test, F.lit(a))
+            width = width.when(test, F.lit(max(b / _BINS - a / _BINS, 5e-324)))
+        cells.append(F.struct(tag.alias("t"), F.col(c).alias("v"), F.floor((F.col(c) - low) / width).alias("b")))
+    return typed.select(F.inline(F.array(*cells))).where(F.col("t").isNotNull())
+
+
+def _pick(typed: DataFrame, small: Mapping[tuple[str, float, float], tuple[int, list[int]]], found: dict[str, dict[int, float]]) -> None:
+    """The wanted values of brackets that hold few rows, into ``found``; rows are sorted where they are gathered."""
+    brackets = list(small)
+    wanted = [(t, [r - base + 1 for r in here]) for t, (base, here) in enumerate(small.values())]
+    places = F.broadcast(typed.sparkSession.createDataFrame(wanted, "t int, places array<int>"))  # columns x ranks rows at most
+    gathered = _in_brackets(typed, brackets).groupBy("t").agg(F.array_sort(F.collect_list("v")).alias("x"))
+    for row in gathered.join(places, "t").select("t", F.transform("places", lambda i: F.element_at("x", i)).alias("q")).collect():
+        found[brackets[row["t"]][0]].update(zip(small[brackets[row["t"]]][1], row["q"]))
 
 
-def _fetch(values: DataFrame, brackets: list[tuple[float, float, int, list[int]]]) -> dict[int, float]:
-    aggs = [
-        F.array_sort(F.collect_list(F.when(F.col("v").between(a, b), F.col("v")))).alias(f"x{i}")
-        for i, (a, b, _, _) in enumerate(brackets)
-    ]
-    row = values.agg(*aggs).first()
-    return {r: row[f"x{i}"][r - base] for i, (_, _, base, here) in enumerate(brackets) for r in here}
+def _between(found: Mapping[int, float], at: float) -> float:
+    a, b, share = found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)
+    if a == b or share == 0:
+        return a
+    return a + (b - a) * share if math.isfinite(b - a) else (1 - share) * a + share * b
 
 
 def grouped_quantiles(

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -46,3 +47,36 @@ def test_grouped(spark, request, split):
     for g in {r[0] for r in rows}:
         mine = [v for k, v in rows if k == g]
         assert np.allclose(got[g], np.quantile(mine, [0.5, 0.95]))
+
+
+def columns_of(n, rows=600):
+    gen = random.Random(n)
+    special = [float("inf"), float("-inf"), float("nan"), None]
+    return [[gen.choice(special) if gen.random() < 0.02 else gen.gauss(i, 10.0**i) for _ in range(rows)] for i in range(n)]
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_wide_columns_share_their_passes(spark, small_limits):
+    found = {}
+    for n in (1, 6):
+        data = columns_of(n)
+        names = [f"c{i}" for i in range(n)]
+        df = spark.createDataFrame(list(zip(*data)), ", ".join(f"{c} double" for c in names))
+        got, found[n] = jobs_of(spark, f"quantiles-{n}", lambda: exact_quantiles(df, names, PROBS))
+        for c, values in zip(names, data):
+            # Spark's order: NaN is the largest
+            ordered = sorted((v for v in values if v is not None), key=lambda v: (math.isnan(v), v))
+            for p, q in zip(PROBS, got[c]):
+                at = p * (len(ordered) - 1)
+                a, b, share = ordered[math.floor(at)], ordered[math.ceil(at)], at - math.floor(at)
+                want = a if a == b or share == 0 else a + (b - a) * share
+                assert (math.isnan(q) and math.isnan(want)) or q == pytest.approx(want, rel=1e-9)
+    assert found[6] <= found[1] + 6  # a level more, not a run per column
