@@ -1,6 +1,6 @@
 """Order-dependent operators (fills, lags, running sums) that survive hot groups.
 
-``ordered_scan`` measures the largest group.  When it fits one task the ordinary window form is
+``ordered_scan`` measures the largest group, in rows and in bytes.  When it fits one task the ordinary window form is
 used.  Otherwise rows are range-partitioned on (group, order) into chunks, each chunk is scanned
 on its own, and what a chunk needs from its neighbours (a sum, the last value seen ...) is taken
 from a table with one row per (group, chunk).  Both forms return the same rows.
@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemill.functions.columns import beside
 from sievemill.session import cut, limit
@@ -27,6 +28,25 @@ def group_sizes(df: DataFrame, part: Sequence[str]) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["m"] or 0)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: eight a field, and what strings, binaries and nested values hold beside that."""
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return size
+
+
+def group_weights(df: DataFrame, part: Sequence[str]) -> tuple[int, int, int, int]:
+    """(rows, rows of the largest group, bytes, bytes of the heaviest group), counted in the map tasks first."""
+    per_group = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df).cast("bigint")).alias("b"))
+    row = per_group.agg(F.sum("n"), F.max("n"), F.sum("b"), F.max("b")).first()
+    return tuple(int(x or 0) for x in row)
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
@@ -49,12 +69,12 @@ def ordered_scan(
     following, lag = dict(following or {}), dict(lag or {})
     part, order = list(part), list(order)
     spark = df.sparkSession
-    rows, biggest = group_sizes(df, part)
+    rows, biggest, size, heaviest = group_weights(df, part)
 
-    if biggest <= limit(spark, "sievemill.groupRows"):
+    if biggest <= limit(spark, "sievemill.groupRows") and heaviest <= limit(spark, "sievemill.groupBytes"):
         return df.withColumns(_local(part, order, sums, last, following, lag, number))
 
-    chunks = max(2, math.ceil(rows / limit(spark, "sievemill.chunkRows")))
+    chunks = max(2, math.ceil(rows / limit(spark, "sievemill.chunkRows")), math.ceil(size / limit(spark, "sievemill.chunkBytes")))
     # the chunk number is written down with the rows: range bounds are sampled, so recomputing
     # them in the second pass could give another split
     rows_df = cut(

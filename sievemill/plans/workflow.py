@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sievemill.operators import profile as P
 from sievemill.operators.dedup import fuzzy_dedup, resolve_entities
 from sievemill.operators.forest import isolation_forest
 from sievemill.operators.relational import map_columns
-from sievemill.session import cut
+from sievemill.session import cut_counted
 from sievemill.sources.tables import write_table
 
 
@@ -53,12 +54,17 @@ class CleaningConfig:
     pci_compliant: bool = False
 
 
-Step = Callable[[DataFrame, CleaningConfig], tuple[DataFrame, int]]
+#: rows and nulls of a table
+Facts = Mapping[str, int]
+#: records a step affected: a number; an aggregate over the table it returns; or a function of the facts before and after it.
+#: The last two cost no job of their own: they are observed while that table is written.
+Affected = int | Column | Callable[[Facts, Facts], int]
+Step = Callable[[DataFrame, CleaningConfig], tuple[DataFrame, Affected]]
 STEPS: dict[str, Step] = {}
 
 
 def register_step(name: str, fn: Step) -> None:
-    """Add a step: ``fn(df, config)`` returns the new table and the number of records affected."""
+    """Add a step: ``fn(df, config)`` returns the new table and the records affected, see ``Affected``."""
     STEPS[name] = fn
 
 
@@ -70,17 +76,37 @@ def _step(name: str):
     return keep
 
 
-def _nulls(df: DataFrame) -> int:
-    parts = [F.count_if(F.col(c).isNull()) for c in df.columns]
-    return df.agg(sum(parts[1:], parts[0]).alias("n")).first()["n"] if parts else 0
+def _holes(cols: Sequence[str]) -> Column:
+    """How many values are null, as an aggregate."""
+    return reduce(Column.__add__, [F.count_if(F.col(f"`{c}`").isNull()) for c in cols], F.lit(0))
+
+
+def _written(df: DataFrame, affected: Column | None = None) -> tuple[DataFrame, Facts]:
+    """``df`` written down; its rows and nulls, and what the step affected, seen in the same job."""
+    extra = {} if affected is None else {"affected": affected}
+    return cut_counted(df, rows=F.count(F.lit(1)), nulls=_holes(df.columns), **extra)
+
+
+def _of_facts(affected: Affected) -> bool:
+    return not isinstance(affected, Column) and callable(affected)
+
+
+def _settle(df: DataFrame, affected: Affected, before: Facts | None) -> tuple[DataFrame, int, Facts | None]:
+    """(table, records affected, its facts if it was written)."""
+    if isinstance(affected, Column):
+        df, facts = _written(df, affected)
+        return df, facts["affected"], facts
+    if _of_facts(affected):
+        df, facts = _written(df)
+        return df, affected(before, facts), facts
+    return df, affected, None
 
 
 @_step("remove_duplicates")
 def _duplicates(df: DataFrame, cfg: CleaningConfig) -> tuple[DataFrame, int]:
     """Rows equal in all columns, or in ``duplicate_columns`` where they are given."""
     cols = [c for c in df.columns if cfg.duplicate_columns is None or c in cfg.duplicate_columns]
-    removed = P.duplicate_count(df, cols).first()["duplicates"]
-    return K.drop_duplicates(df, cols, [cfg.key] if cfg.key else ()), removed
+    return K.drop_duplicates(df, cols, [cfg.key] if cfg.key else ()), lambda before, after: before["rows"] - after["rows"]
 
 
 @_step("type_validation")
@@ -90,12 +116,9 @@ def _types(df, cfg):
 
 @_step("handle_missing")
 def _missing(df, cfg):
-    before = _nulls(df)
-    if not before:
-        return df, 0
     order = [cfg.key] if cfg.key else []
     out = K.fill_missing(df, cfg.missing_strategy, order=order, key=cfg.key)
-    return out, before - _nulls(out)
+    return out, lambda before, after: before["nulls"] - after["nulls"]
 
 
 @_step("standardize_formats")
@@ -114,7 +137,7 @@ def _anomalies(df, cfg):
     if not nums:
         return df, 0
     out = isolation_forest(df, nums, cfg.key).drop("_score")
-    return out, out.where("_anomaly_score = -1").count()
+    return out, F.count_if(F.col("_anomaly_score") == -1)
 
 
 @_step("outlier_handling")
@@ -126,9 +149,8 @@ def _outliers(df, cfg):
 
 @_step("fuzzy_deduplication")
 def _fuzzy(df, cfg):
-    before = df.count()
-    out = cut(fuzzy_dedup(df, cfg.key, cfg.fuzzy_columns, cfg.fuzzy_threshold))
-    return out, before - out.count()
+    out = fuzzy_dedup(df, cfg.key, cfg.fuzzy_columns, cfg.fuzzy_threshold)
+    return out, lambda before, after: before["rows"] - after["rows"]
 
 
 @_step("column_mapping")
@@ -148,8 +170,7 @@ def _addresses(df, cfg):
     cols = [c for c in C.string_columns(df) if "address" in c.lower()]
     if not cols:
         return df, 0
-    n = df.agg(sum((F.count(c) for c in cols[1:]), F.count(cols[0])).alias("n")).first()["n"]
-    return K.expand_abbreviations(df), n
+    return K.expand_abbreviations(df), F.count(F.lit(1)) * len(cols) - _holes(cols)
 
 
 @_step("industry_rules")
@@ -161,13 +182,13 @@ def _industry(df, cfg):
 
 @_step("quality_assessment")
 def _quality(df, cfg):
-    return P.row_quality(df), df.count()
+    return P.row_quality(df), F.count(F.lit(1))
 
 
 @_step("synthetic_generation")
 def _gaps(df, cfg):
     nums = [c for c in C.numeric_columns(df) if c != cfg.key and not c.startswith("_")]
-    holes = _nulls(df.select(*nums)) if nums else 0
+    holes = df.agg(_holes(nums).alias("n")).first()["n"] if nums else 0
     return (K.fill_missing(df, "interpolate", nums, order=[cfg.key]) if holes else df), holes
 
 
@@ -175,8 +196,8 @@ def _gaps(df, cfg):
 def _entities(df, cfg):
     if not cfg.entity_keys:
         return df, 0
-    out = cut(resolve_entities(df, cfg.key, list(cfg.entity_keys), name="_entity"))
-    return out, out.where(F.col("_entity") != F.col(cfg.key)).count()
+    out = resolve_entities(df, cfg.key, list(cfg.entity_keys), name="_entity")
+    return out, F.count_if(F.col("_entity") != F.col(cfg.key))
 
 
 @_step("semantic_validation")
@@ -228,19 +249,23 @@ def steps_of(cfg: CleaningConfig) -> list[str]:
 def clean(df: DataFrame, cfg: CleaningConfig, quality: bool = True) -> tuple[DataFrame, DataFrame]:
     """Run a configuration: (clean table, report rows (position, operation, records_affected)).
 
-    The input is written once to the shared folder; steps that changed rows are written again, so
-    statistics of later steps never repeat earlier ones.
+    The input is written once to the shared folder, and again after steps that changed rows, so statistics of later steps
+    never repeat earlier ones.  Rows, nulls and what a step affected are observed by the jobs that write.
     """
     spark = df.sparkSession
     order = cfg.key
-    current = cut(C.nan_to_null(df))
+    current, facts = _written(C.nan_to_null(df))
     log: list[tuple[int, str, float]] = []
     if quality:
         log.append((0, "quality_before", float(P.quality_score(current).first()["quality_score"])))
     for name in steps_of(cfg):
-        current, affected = STEPS[name](current, cfg)
-        if name in ("remove_duplicates", "handle_missing", "standardize_formats", "data_enrichment", "synthetic_generation"):
-            current = cut(current)
+        if name == "handle_missing" and not facts["nulls"]:
+            log.append((len(log), name, 0.0))
+            continue
+        current, affected, seen = _settle(*STEPS[name](current, cfg), facts)
+        if seen is None and name in ("standardize_formats", "data_enrichment", "synthetic_generation"):
+            current, seen = _written(current)
+        facts = seen or facts  # steps that are not written keep rows and nulls
         if name == "column_mapping" and order is not None:
             # later steps follow the key under its new name
             renamed = map_columns(df.select(order)).columns[0]
@@ -277,6 +302,8 @@ class Workflow:
                 write_table(df, **args)
                 affected = None
             else:
-                df, affected = STEPS[name](df, cfg)
+                out, affected = STEPS[name](df, cfg)
+                before = df.agg(F.count(F.lit(1)).alias("rows"), _holes(df.columns).alias("nulls")).first().asDict() if _of_facts(affected) else None
+                df, affected, _ = _settle(out, affected, before)
             log.append((name, affected))
         return df, log

@@ -197,6 +197,21 @@ def clean_report_customer(t):
     return W.clean(t.customer, cfg)[1]
 
 
+@query("clean_report_events", """
+    with base as (select event_id, case when event_id % 7 <> 0 then value end as v from events),
+      filled as (select coalesce(v, (select avg(v) from base)) as v from base),
+      far as (select count(*) filter (abs(v - m) / s > 2) as n from filled, (select avg(v) as m, stddev_pop(v) as s from filled))
+    select 0 as position, 'remove_duplicates' as operation, (select count(*) from base where event_id % 5 = 0)::double as records_affected
+    union all select 1, 'type_validation', 3 union all select 2, 'handle_missing', (select count(*) from base where v is null)
+    union all select 3, 'standardize_formats', 3 union all select 4, 'trim_whitespace', 1 union all select 5, 'outlier_handling', (select n from far)
+    union all select 6, 'quality_assessment', (select count(*) from base)""")
+def clean_report_events(t):
+    """What cleaning says of the events, every fifth of them twice and every seventh without its value."""
+    rows = t.events.select("event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    cfg = W.CleaningConfig(tier="ai-powered", key="event_id", missing_strategy="mean", statistical_outliers=True, outlier_sensitivity=2.0, predictive_quality=True)
+    return W.clean(rows.unionByName(rows.where(F.col("event_id") % 5 == 0)), cfg, quality=False)[1]
+
+
 @query("workflow_orders", "select count(*) as rows, count(distinct o_orderpriority) as priorities from orders")
 def workflow_orders(t):
     steps = [("dedupe", {}), ("validate", {"constraints": {"priced": F.col("o_totalprice") > 0}}), ("transform", {"plan": {"o_orderpriority": "label"}}),

@@ -10,16 +10,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LIMITS = {
     # rows one window / grouped-map task may hold
     "sievemill.groupRows": 2_000_000,
+    # bytes of the rows of such a task
+    "sievemill.groupBytes": 256 << 20,
     # distinct values one exact percentile buffer may hold
     "sievemill.percentileValues": 200_000,
     # rows per range chunk when an ordered group is split
     "sievemill.chunkRows": 1_000_000,
+    # bytes per such chunk
+    "sievemill.chunkBytes": 128 << 20,
     # rows of a table that may be broadcast or turned into literals
     "sievemill.broadcastRows": 100_000,
     # rows of one bucket compared at once in the fuzzy match
@@ -76,6 +80,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As ``cut``, with aggregates over ``df`` that are observed by the very job that writes it."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[e.alias(name) for name, e in counts.items()]))
+    return out, {name: int(n or 0) for name, n in seen.get.items()}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

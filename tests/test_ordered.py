@@ -88,3 +88,27 @@ def test_frequency_ladder(spark, seconds, name):
 def test_latest_keeps_one_row_per_key(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "k int, t int, v string")
     assert {(r["k"], r["v"]) for r in O.latest(df, ["k"], ["t"]).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_heavy_rows_split_a_group_of_few_rows(spark):
+    df, pdf = frame(spark, 80)
+    wide = df.withColumn("text", F.repeat(F.lit("x"), 500)).withColumn("many", F.sequence(F.lit(1), F.lit(50)))
+    assert 80 * 600 < O.group_weights(wide, [])[2] < 80 * 1200
+    spark.conf.set("sievemill.groupBytes", "20000")
+    spark.conf.set("sievemill.chunkBytes", "9000")
+    try:
+        out = O.ordered_scan(wide, ["t", "id"], number="n")
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = [r["id"] for r in out.orderBy("n").collect()]
+    finally:
+        spark.conf.unset("sievemill.groupBytes")
+        spark.conf.unset("sievemill.chunkBytes")
+    # what one task still holds is a row per chunk
+    assert all("HashAggregate" in below for line, below in zip(plan, plan[1:]) if "SinglePartition" in line)
+    assert out.columns == [*wide.columns, "n"]
+    assert got == list(pdf.sort_values(["t", "id"])["id"])
+
+
+def test_weights_of_an_empty_table(spark):
+    df, _ = frame(spark, 5)
+    assert O.group_weights(df.where("false"), ["g"]) == (0, 0, 0, 0) == O.group_weights(df.where("false"), [])

@@ -139,3 +139,27 @@ def test_small_helpers(spark):
                      U.cost_rows(F.lit(1000), F.lit("vae"), ["gdpr"], epsilon=0.5, tables=2).alias("c"), U.estimate_cleaning_minutes(F.lit(25), F.lit("advanced")).alias("d"),
                      U.estimate_bytes(F.lit(0), F.lit(5), F.lit("csv")).alias("e")).first()
     assert got[:] == (1, 50, 199, 4, 0)
+
+
+@pytest.mark.parametrize("schema", ["id long, v double, t string", "id long"])
+def test_cleaning_an_empty_table(spark, schema):
+    df = spark.createDataFrame([], schema)
+    cfg = W.CleaningConfig(tier="ai-powered", key="id", missing_strategy="mean", statistical_outliers=True, predictive_quality=True)
+    out, report = W.clean(df, cfg, quality=False)
+    log = {r["operation"]: r["records_affected"] for r in report.collect()}
+    assert out.count() == 0 and log["remove_duplicates"] == log["handle_missing"] == log["quality_assessment"] == 0
+
+
+def test_counts_of_steps_come_with_the_job_that_writes(spark):
+    rows = [(i, None if i % 4 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[:6], "id long, v double")
+
+    def double(table, cfg):
+        return table.withColumn("w", F.col("v") * 2), F.count_if(F.col("w") > 20)
+
+    W.register_step("double", double)
+    try:
+        out, log = W.Workflow([("remove_duplicates", {}), ("double", {}), ("handle_missing", {})]).run(df)
+    finally:
+        del W.STEPS["double"]
+    assert log == [("remove_duplicates", 6), ("double", 7), ("handle_missing", 60)] and out.count() == 10
