@@ -124,6 +124,13 @@ def test_levels_grow(spark):
     assert vec.shape == (300, 128) and abs(vec.mean()) < 0.05 and abs(vec.std() - 1) < 0.05
 
 
+def test_levels_use_all_cores(spark):
+    made = T.generate_complexity(rows(spark, 400).coalesce(1), "_id", "very_complex", 400)
+    assert made.groupBy(F.spark_partition_id()).count().count() == 8
+    whole = T.generate_complexity(rows(spark, 400), "_id", "very_complex", 400)
+    assert sorted(made.select("id", "name", "salary").collect()) == sorted(whole.select("id", "name", "salary").collect())
+
+
 def test_draw_from_a_frequency_table(spark):
     table = spark.createDataFrame([("a", 600), ("b", 300), ("c", 100)], "value string, n long")
     df = G.draw_from_table(rows(spark, 5000).withColumn("c", F.lit(None).cast("string")), "c", table, "_id", 5)
