@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour prediction in few dimensions.
 
 Train points are combined when equal and cut into leaves by medians, level by level, so no leaf grows
-with a crowded spot.  A test row then meets only the leaves that can hold one of its neighbours: leaf
-boxes and counts give a radius that surely holds k points, and leaves beyond it are left out.
+with a crowded spot.  A test row first meets the leaf it falls in; the distance of the k-th point there is
+a radius that surely holds k points.  It then goes down the tree once more, past boxes beyond that radius,
+and meets the few leaves that are left.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.session import cut
+from sievemill.session import cut, stored
+
+#: points that are searched together, and test rows that meet them in one task
+_BLOCK, _PART = 20_000, 100_000
 
 
 def _descend(tree: list[tuple], points: np.ndarray) -> np.ndarray:
@@ -72,16 +78,17 @@ def _first_tree(points: DataFrame, cols: Sequence[str], size: int, n: int) -> li
 
 def _grow(points: DataFrame, cols: Sequence[str], size: int, n: int) -> tuple[list, pd.DataFrame]:
     """(tree, leaf boxes).  The sample's tree is measured on all points, and leaves that still hold too
-    many are cut further, one aggregate per level."""
+    many are cut further, one aggregate of what was cut per level."""
     tree = _first_tree(points, cols, size, n)
+    done, start = [], 0
     while True:
-        stats = _with_leaf(points, cols, tree).groupBy("_leaf").agg(
+        stats = _with_leaf(points, cols, tree).where(F.col("_leaf") >= start).groupBy("_leaf").agg(
             F.count(F.lit(1)).alias("n"), F.sum("_weight").alias("w"),
             *[f(c).alias(f"{tag}_{i}") for i, c in enumerate(cols) for tag, f in (("lo", F.min), ("hi", F.max))],
             *[F.percentile_approx(c, 0.5, 1000).alias(f"mid_{i}") for i, c in enumerate(cols)],
         ).toPandas()
         crowded = stats[stats["n"] > size]
-        split = False
+        split, start = [], len(tree)
         for row in crowded.to_dict("records"):
             spans = [row[f"hi_{i}"] - row[f"lo_{i}"] for i in range(len(cols))]
             dim = int(np.argmax(spans))
@@ -92,9 +99,118 @@ def _grow(points: DataFrame, cols: Sequence[str], size: int, n: int) -> tuple[li
                 threshold = row[f"lo_{dim}"]
             tree[row["_leaf"]] = (dim, float(threshold), len(tree), len(tree) + 1)
             tree += [None, None]
-            split = True
+            split.append(row["_leaf"])
+        done.append(stats[~stats["_leaf"].isin(split)])
         if not split:
-            return tree, stats
+            return tree, pd.concat(done, ignore_index=True)
+
+
+class _Index:
+    """The tree as arrays: boxes and weights of all nodes, the block of every leaf."""
+
+    def __init__(self, tree: list, boxes: pd.DataFrame, dims: int):
+        size = len(tree)
+        self.inner = np.array([t is not None for t in tree])
+        self.dim = np.array([t[0] if t else 0 for t in tree], dtype=np.int64)
+        self.threshold = np.array([t[1] if t else 0.0 for t in tree])
+        self.left = np.array([t[2] if t else 0 for t in tree], dtype=np.int64)
+        self.right = np.array([t[3] if t else 0 for t in tree], dtype=np.int64)
+        self.lo, self.hi = np.full((size, dims), np.inf), np.full((size, dims), -np.inf)
+        self.weight, count = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        leaves = boxes["_leaf"].to_numpy(dtype=np.int64)
+        self.lo[leaves] = boxes[[f"lo_{i}" for i in range(dims)]].to_numpy(dtype=float)
+        self.hi[leaves] = boxes[[f"hi_{i}" for i in range(dims)]].to_numpy(dtype=float)
+        self.weight[leaves], count[leaves] = boxes["w"].to_numpy(dtype=np.int64), boxes["n"].to_numpy(dtype=np.int64)
+        # children come after their parent
+        for i in np.flatnonzero(self.inner)[::-1]:
+            a, b = self.left[i], self.right[i]
+            self.lo[i], self.hi[i] = np.minimum(self.lo[a], self.lo[b]), np.maximum(self.hi[a], self.hi[b])
+            self.weight[i] = self.weight[a] + self.weight[b]
+        # leaves side by side make a block
+        self.block, todo, number, held = np.zeros(size, dtype=np.int64), [0], 0, 0
+        while todo:
+            i = todo.pop()
+            if self.inner[i]:
+                todo += [self.right[i], self.left[i]]
+                continue
+            if held and held + count[i] > _BLOCK:
+                number, held = number + 1, 0
+            self.block[i], held = number, held + count[i]
+
+    def home(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of every row, and the far side of the smallest box on its way that holds k points."""
+        at, rows, held = np.zeros(len(x), dtype=np.int64), np.arange(len(x)), np.full(len(x), -1, dtype=np.int64)
+        while True:
+            held = np.where(self.weight[at] >= k, at, held)
+            if not self.inner[at].any():
+                break
+            step = np.where(x[rows, self.dim[at]] <= self.threshold[at], self.left[at], self.right[at])
+            at = np.where(self.inner[at], step, at)
+        far = (np.maximum(np.abs(x - self.lo[held]), np.abs(x - self.hi[held])) ** 2).sum(axis=1)
+        return at, np.where(held >= 0, far, np.inf)
+
+    def reach(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves within the radius of a row."""
+        rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        radius = radius * (1 + 1e-12)
+        while len(rows):
+            near = (np.maximum(np.maximum(self.lo[at] - x[rows], x[rows] - self.hi[at]), 0.0) ** 2).sum(axis=1)
+            stay = ~(near > radius[rows]) & (self.weight[at] > 0)
+            rows, at = rows[stay], at[stay]
+            inner = self.inner[at]
+            found.append((rows[~inner], at[~inner]))
+            rows, at = rows[inner], at[inner]
+            rows, at = np.concatenate([rows, rows]), np.concatenate([self.left[at], self.right[at]])
+        return np.concatenate([f[0] for f in found] or [rows]), np.concatenate([f[1] for f in found] or [at])
+
+
+def _matrix(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table[c].to_numpy() for c in names]).astype(float)
+
+
+def _nearest(probes: pa.Table, points: pa.Table, d: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(probe, point, distance, weight) of the points of a probe's leaf that may be among its k nearest, by probe and distance."""
+    order = pc.sort_indices(points, sort_keys=[("_leaf", "ascending"), ("_first", "ascending")], null_placement="at_start").to_numpy()
+    p, leaf = _matrix(points, [f"_p{i}" for i in range(d)])[order], points["_leaf"].to_numpy()[order]
+    weight = points["_weight"].to_numpy()[order]
+    x, radius, asked = _matrix(probes, [f"_x{i}" for i in range(d)]), probes["_radius"].to_numpy(), probes["_leaf"].to_numpy()
+    turn = np.argsort(asked, kind="stable")
+    for mine in np.split(turn, np.flatnonzero(np.diff(asked[turn])) + 1):
+        a, b = np.searchsorted(leaf, asked[mine[0]]), np.searchsorted(leaf, asked[mine[0]], "right")
+        if a == b:
+            continue
+        step = max(1, 1_000_000 // int(b - a))
+        for start in range(0, len(mine), step):
+            part = mine[start:start + step]
+            away = sum(((x[part, i][:, None] - p[a:b, i]) ** 2 for i in range(1, d)), (x[part, 0][:, None] - p[a:b, 0]) ** 2)
+            most = radius[part] * (1 + 1e-12)
+            if b - a > k:
+                most = np.minimum(most, np.partition(away, k - 1, axis=1)[:, k - 1])
+            rows, at = np.nonzero(~(away > most[:, None]))
+            far = away[rows, at]
+            # points lie in the order of their first key, which decides between equal distances
+            by = np.lexsort((at, far, rows))
+            rows, at, far = rows[by], at[by], far[by]
+            w = weight[a + at]
+            sums = np.concatenate([[0], np.cumsum(w)])
+            before = sums[:-1] - sums[np.searchsorted(rows, rows)]
+            keep = before < k
+            yield part[rows[keep]], order[a + at[keep]], far[keep], w[keep]
+
+
+def _met(probes: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
+    """``run(probes, points)`` per block; a block asked for by very many test rows is dealt over several tasks."""
+    spark = probes.sparkSession
+    sizes = probes.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(_PART)).alias("_parts"))
+    sizes = F.broadcast(stored(sizes))
+    # the rows are written down, so their numbers stay
+    left = probes.join(sizes, "_block").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).drop("_parts")
+    right = points.join(sizes, "_block").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    # few bytes but long work: adaptive execution keeps a partition count that is asked for
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["_block", "_part"]
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def knn(
@@ -117,38 +233,49 @@ def knn(
     n = points.count()
     size = max(leaf, 4 * k, n // most_leaves)
     tree, boxes = _grow(points, cols, size, n)
-    lo = boxes[[f"lo_{i}" for i in range(len(cols))]].to_numpy(dtype=float)
-    hi = boxes[[f"hi_{i}" for i in range(len(cols))]].to_numpy(dtype=float)
-    weights, ids = boxes["w"].to_numpy(dtype=np.int64), boxes["_leaf"].to_numpy(dtype=np.int64)
-    shared = train.sparkSession.sparkContext.broadcast((lo, hi, weights, ids))
+    d = len(cols)
+    shared = train.sparkSession.sparkContext.broadcast(_Index(tree, boxes, d))
+    xs, ps = [f"_x{i}" for i in range(d)], [f"_p{i}" for i in range(d)]
+    block = F.pandas_udf(lambda leaf: pd.Series(shared.value.block[leaf.to_numpy()]), "bigint")
+    placed = cut(_with_leaf(points, cols, tree).select("_leaf", block("_leaf").alias("_block"), *[F.col(c).alias(p) for c, p in zip(cols, ps)], "_label", "_weight", "_first"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            leaf, radius = shared.value.home(pdf[xs].to_numpy(dtype=float), k)
+            yield pdf.assign(_radius=radius, _leaf=leaf, _block=shared.value.block[leaf])
+
+    def tighten(probes: pa.Table, points: pa.Table) -> pa.Table:
+        radius = probes["_radius"].to_numpy().copy()
+        if len(probes) and len(points):
+            for rows, _, far, w in _nearest(probes, points, d, k):
+                full = np.bincount(rows, w, len(radius)) >= k
+                last = np.full(len(radius), np.inf)
+                last[rows] = far  # the farthest comes last
+                radius = np.where(full, np.minimum(radius, last), radius)
+        return probes.select(["_test", *xs]).append_column("_radius", pa.array(radius))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi, weights, ids = shared.value
-        step = max(1, 2_000_000 // max(1, lo.size))
         for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step]
-                x = part[cols].to_numpy(dtype=float)[:, None, :]
-                near = (np.maximum(np.maximum(lo - x, x - hi), 0.0) ** 2).sum(axis=2)
-                far = (np.maximum(np.abs(x - lo), np.abs(x - hi)) ** 2).sum(axis=2)
-                order = np.argsort(far, axis=1)
-                held = np.cumsum(weights[order], axis=1)
-                enough = np.minimum((held < k).sum(axis=1), far.shape[1] - 1)
-                radius = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
-                rows, leaves = np.nonzero(near <= radius * (1 + 1e-12))
-                out = part.iloc[rows].reset_index(drop=True)
-                out["_leaf"] = ids[leaves]
-                yield out
-
-    kind = dict(test.dtypes)[test_key]
-    asked = test.select(F.col(test_key).alias("_test"), *[F.col(c).cast("double").alias(c) for c in cols])
-    schema = f"_test {kind}, " + ", ".join(f"{c} double" for c in cols) + ", _leaf bigint"
-    probes = asked.mapInPandas(meet, schema).select("_test", "_leaf", *[F.col(c).alias(f"_x_{c}") for c in cols])
-    placed = cut(_with_leaf(points, cols, tree))
-    away = sum((F.pow(F.col(c) - F.col(f"_x_{c}"), 2) for c in cols[1:]), F.pow(F.col(cols[0]) - F.col(f"_x_{cols[0]}"), 2))
-    # a test row meets a bounded number of points, and every map task keeps its k nearest only
+            rows, leaves = shared.value.reach(pdf[xs].to_numpy(dtype=float), pdf["_radius"].to_numpy(dtype=float))
+            for start in range(0, len(rows), 100_000):
+                leaf = leaves[start:start + 100_000]
+                out = pdf.iloc[rows[start:start + 100_000]].reset_index(drop=True)
+                yield out.assign(_leaf=leaf, _block=shared.value.block[leaf])
+
+    def pick(probes: pa.Table, points: pa.Table) -> pa.Table:
+        got = list(_nearest(probes, points, d, k)) if len(probes) and len(points) else []
+        rows, at, far = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, dtype=t) for i, t in enumerate(("int64", "int64", "float64")))
+        taken = points.select(["_label", "_weight", "_first"]).take(pa.array(at))
+        return pa.table([probes["_test"].take(pa.array(rows)), *taken.columns, pa.array(far)], names=["_test", *taken.column_names, "_away"])
+
+    kinds = dict(placed.dtypes) | {"_test": dict(test.dtypes)[test_key]}
+    row = f"_test {kinds['_test']}, " + ", ".join(f"{x} double" for x in xs) + ", _radius double"
+    asked = test.select(F.col(test_key).alias("_test"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)])
+    asked = cut(asked.mapInPandas(settle, f"{row}, _leaf bigint, _block bigint"))
+    probes = cut(_met(asked, placed, tighten, row).mapInPandas(meet, f"{row}, _leaf bigint, _block bigint"))
+    near = _met(probes, placed, pick, f"_test {kinds['_test']}, _label {kinds['_label']}, _weight bigint, _first {kinds['_first']}, _away double")
+    # a test row meets a bounded number of leaves, each of which gives its k nearest
     w = Window.partitionBy("_test").orderBy("_away", "_first")
-    near = probes.join(placed, "_leaf").select("_test", "_label", "_weight", "_first", away.alias("_away"))
     near = near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
     before = F.sum("_weight").over(w.rowsBetween(Window.unboundedPreceding, -1))
     used = near.withColumn("_used", F.least(F.col("_weight"), F.lit(k) - F.coalesce(before, F.lit(0)))).where(F.col("_used") > 0)
