@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemill.operators.ordered import group_sizes, ordered_scan
+from sievemill.operators.ordered import group_sizes
 from sievemill.plans.rules import Rule, apply_rules
-from sievemill.session import cut, limit
+from sievemill.session import cut, limit, stored
 
 _FIRED = T.StructType([
     T.StructField("rule_id", T.StringType()), T.StructField("key", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -61,9 +62,8 @@ def rule_stream(events: DataFrame, rules: Sequence[Rule], key: str, ts: str = "t
 def with_cooldown(events: DataFrame, rules: Sequence[Rule], key: str, ts: str = "ts") -> DataFrame:
     """Batch form of :func:`rule_stream`.
 
-    A rule's matches are walked in one task while they fit the group limit.  Beyond it every match
-    gets a pointer to the next match after its cooldown, and the chain from the first match is
-    followed by pointer doubling, so the number of rounds grows with the logarithm of the chain.
+    A rule's matches are walked in one task while they fit the group limit.  Beyond it they are dealt over chunks in
+    order, and the chain is followed from chunk to chunk (``_follow``).
     """
     return cooled(matches(events, rules, key, ts))
 
@@ -88,21 +88,87 @@ def cooled(hits: DataFrame) -> DataFrame:
     return free.unionByName(kept.select("rule_id", "key", F.timestamp_micros("_us").alias("ts")))
 
 
+def _by_rule(rules: np.ndarray) -> Iterator[tuple[str, slice]]:
+    """Each rule of a chunk, whose rows are sorted by rule, with its rows."""
+    edges = np.flatnonzero(rules[1:] != rules[:-1]) + 1
+    for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(rules)]):
+        if low < high:
+            yield rules[low], slice(low, high)
+
+
+def _gates(micros: np.ndarray, wait: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions at which a chain may enter a chunk, moment of its last firing there if it does).
+
+    A firing before the chunk silences less than one ``wait`` of it, so a chain enters at a match of that time or at the
+    first one behind it.
+    """
+    after = np.searchsorted(micros, micros + wait)
+    to = np.where(after < len(micros), after, np.arange(len(micros)))
+    while not np.array_equal(further := to[to], to):
+        to = further
+    gates = np.arange(min(len(micros), int(np.searchsorted(micros, micros[0] + wait)) + 1))
+    return gates, micros[to[gates]]
+
+
 def _follow(timed: DataFrame) -> DataFrame:
-    asks = timed.select("rule_id", (F.col("_us") + F.col("wait")).alias("at"), F.col("_us").alias("src"), F.lit(None).cast("bigint").alias("hit"))
-    marks = timed.select("rule_id", F.col("_us").alias("at"), F.lit(None).cast("bigint").alias("src"), F.col("_us").alias("hit"))
-    scanned = ordered_scan(asks.unionByName(marks).withColumn("_o", F.coalesce("src", F.lit(2**62))), ["at", "_o"], ["rule_id"], following={"next": "hit"})
-    jump = cut(scanned.where(F.col("src").isNotNull()).select("rule_id", "src", "next"))
-    reached = cut(timed.groupBy("rule_id").agg(F.min("_us").alias("us")))
-    while True:
-        # everything 2^k steps behind what is reached so far
-        here = reached.select(F.col("rule_id").alias("_r"), F.col("us").alias("_u"))
-        found = jump.join(here, (F.col("rule_id") == F.col("_r")) & (F.col("src") == F.col("_u"))).where(F.col("next").isNotNull())
-        found = found.select("rule_id", F.col("next").alias("us"))
-        grown = cut(reached.unionByName(found).distinct())
-        if grown.count() == reached.count():
+    """Firings of rules too large for one task.
+
+    Matches in order are dealt over chunks.  For every match at which a chain may enter a chunk, the chunk's task tells where the
+    chain leaves it, so the chain is followed from chunk to chunk, one row each, all rules at once.  Then each chunk
+    is walked from where the chain enters it.  Two passes over the matches, and a step per chunk.
+    """
+    spark = timed.sparkSession
+    timed = timed.where(F.col("_us").isNotNull())  # a match without a time is never reached
+    n = max(2, math.ceil(timed.count() / limit(spark, "sievemill.chunkRows")))
+    dealt = timed.repartitionByRange(n, "rule_id", "_us").sortWithinPartitions("rule_id", "_us")
+    # a null key would turn whole numbers into floats in pandas
+    key = [F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("none")]
+    chunks = cut(dealt.select("rule_id", "wait", "_us", *key, F.spark_partition_id().alias("chunk")))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+        held = [b for b in batches if len(b)]
+        return pd.concat(held, ignore_index=True) if held else None
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = whole(batches)
+        if rows is None:
+            return
+        us, chunk = rows["_us"].to_numpy(), rows["chunk"].iloc[0]
+        for rule, at in _by_rule(rows["rule_id"].to_numpy()):
+            gates, last = _gates(us[at], int(rows["wait"].iloc[at.start]))
+            yield pd.DataFrame({"rule_id": rule, "chunk": chunk, "us": us[at][gates], "last": last})
+
+    gates = stored(chunks.mapInPandas(leave, "rule_id string, chunk int, us long, last long"))
+    spans: dict[str, list[tuple]] = {}
+    # a row per chunk, and one more per rule that shares one
+    for r in chunks.groupBy("rule_id", "chunk").agg(F.min("_us").alias("low"), F.max("_us").alias("high"), F.first("wait").alias("wait")).collect():
+        spans.setdefault(r["rule_id"], []).append((r["chunk"], r["low"], r["high"], r["wait"]))
+    entries: dict[tuple[str, int], int] = {}
+    todo = {rule: min(s[1] for s in spans[rule]) for rule in spans}
+    while todo:
+        now = {}
+        for rule, ready in todo.items():
+            reach = [s[0] for s in spans[rule] if s[2] >= ready]
+            if reach:
+                now[rule] = min(reach)
+                entries[rule, now[rule]] = ready
+        if not now:
             break
-        reached = grown
-        far = jump.select(F.col("rule_id").alias("_r"), F.col("src").alias("_s"), F.col("next").alias("_n"))
-        jump = cut(jump.join(far, (F.col("rule_id") == F.col("_r")) & (F.col("next") == F.col("_s")), "left").select("rule_id", "src", F.col("_n").alias("next")))
-    return timed.join(reached.select(F.col("rule_id").alias("_r"), F.col("us").alias("_u")), (F.col("rule_id") == F.col("_r")) & (F.col("_us") == F.col("_u")), "left_semi")
+        asked = spark.createDataFrame([(r, c, todo[r]) for r, c in now.items()], "rule_id string, chunk int, ready long")
+        met = gates.where(F.col("chunk").isin(sorted(set(now.values())))).join(F.broadcast(asked), ["rule_id", "chunk"]).where("us >= ready")
+        left = {r["rule_id"]: r["last"] for r in met.groupBy("rule_id").agg(F.min_by("last", "us").alias("last")).collect()}
+        todo = {rule: left[rule] + spans[rule][0][3] for rule in now}
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = whole(batches)
+        if rows is None:
+            return
+        us, chunk = rows["_us"].to_numpy(), int(rows["chunk"].iloc[0])
+        for rule, at in _by_rule(rows["rule_id"].to_numpy()):
+            if (rule, chunk) in entries:
+                wait = int(rows["wait"].iloc[at.start])
+                fired, _ = _fire(us[at], wait, entries[rule, chunk] - wait)
+                yield rows.iloc[at].iloc[fired][["rule_id", "key", "none", "_us"]]
+
+    fired = chunks.mapInPandas(walk, "rule_id string, key long, none boolean, _us long")
+    return fired.select("rule_id", F.when(~F.col("none"), F.col("key")).alias("key"), "_us")

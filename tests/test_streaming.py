@@ -1,3 +1,4 @@
+import random
 import tempfile
 
 import pandas as pd
@@ -73,6 +74,32 @@ def test_cooldown_of_a_hot_rule_by_pointers(spark, small_limits, events):
     assert got == want
 
 
+def test_chains_of_hot_rules_cross_chunks(spark, small_limits, monkeypatch):
+    """Chunks shorter and longer than the cooldown, gaps, repeated moments, null times and keys; writes don't grow with the chain."""
+    writes = []
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(RS, name, lambda df, write=getattr(RS, name): writes.append(1) or write(df))
+    gen = random.Random(3)
+    rows = [("long", 100, t) for t in gen.sample(range(300), 120)] + [("short", 3, t) for t in gen.sample(range(1000), 60)]
+    rows += [("gaps", 10, 1000 * i + t) for i in range(5) for t in gen.sample(range(25), 8)] + [("few", 10, 5), ("few", 10, 14), ("few", 10, 15)]
+    rows = [(r, w, t, None if i % 9 == 0 else (1 << 60) + i) for i, (r, w, t) in enumerate(rows)]
+    rows += [(r, w, t, 1 << 61) for r, w, t, _ in rows[::5]] + [("few", 10, None, 4)]
+    gen.shuffle(rows)
+    want = []
+    for rule in {r[0] for r in rows}:
+        keys, last = {}, None
+        for _, w, t, k in (r for r in rows if r[0] == rule and r[2] is not None):
+            keys.setdefault(t, []).append(k)
+        for t in sorted(keys):
+            if last is None or t >= last + w:
+                want.append((rule, min((k for k in keys[t] if k is not None), default=None), last := t))
+    hits = spark.createDataFrame(rows, "rule_id string, wait long, t long, key long").withColumn("wait", F.col("wait") * 1_000_000)
+    got = RS.cooled(hits.select("rule_id", "key", F.timestamp_seconds("t").alias("ts"), "wait"))
+    got = sorted((r["rule_id"], r["t"], r["key"]) for r in got.select("rule_id", F.unix_seconds("ts").alias("t"), "key").collect())
+    assert got == sorted((r, t, k) for r, k, t in want)
+    assert len(writes) <= 2
+
+
 def test_same_moment_matches(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([0, 0, 5, 10, 10, 30])], "id long, t long").select("id", F.timestamp_seconds("t").alias("ts"))
     rules = [parse_rule({"rule_id": r, "name": r, "cooldown_seconds": c, "conditions": {"field": "id", "operator": "is_not_null"}, "actions": []}) for r, c in (("cool", 10), ("free", None))]
