@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import chunks, packing, quality, rules, simhash
-from sievemill.llm.common import stored
-from sievemill.session import prepare
+from sievemill.llm.common import prepare_texts, stored
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    prepare(spark)
+    prepare_texts(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
@@ -32,17 +31,20 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
+    prepare_texts(spark)
     return simhash.one_per_group(docs, shingle=3, distance=2)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document of a smaller id has; ``n_chars`` follows the text."""
+    prepare_texts(spark)
     cut = chunks.drop_repeats(docs).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed: one row per piece."""
+    prepare_texts(spark)
     return packing.pack_documents(docs)
 
 
@@ -60,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents in ``sf_dir``; each result is written and read again."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare_texts(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

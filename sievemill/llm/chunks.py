@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemill.llm.common import spare, stored
+from sievemill.llm.common import spare, stored, tidy
 
 #: one byte in so many starts the next word's chunk; words that a run of repeated chunks has at least
 SPACING, MIN_WORDS = 29, 14
@@ -146,7 +146,7 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(np.concatenate(owners))], names=["digest", "owner"])
 
     def held():
-        return keyed.select(key, F.col(text).cast("string")).mapInArrow(emit, "digest bigint, owner bigint")
+        return keyed.select(key, F.col(text).cast("string")).mapInArrow(tidy(emit), "digest bigint, owner bigint")
 
     shared = held().groupBy("digest").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).where("first < last")
     shared = stored(shared.select("digest", "first"))
@@ -192,4 +192,4 @@ def drop_repeats(docs: DataFrame, spacing: int = SPACING, min_words: int = MIN_W
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(ranges, pa.string())]
             yield pa.RecordBatch.from_arrays([*kept.values(), *made], names=labels)
 
-    return met.mapInArrow(rewrite, schema)
+    return met.mapInArrow(tidy(rewrite), schema)

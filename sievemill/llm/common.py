@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemill.session import shared_dir
+from sievemill.session import prepare, shared_dir
 
+#: bytes of rows that a worker gets at once; a single longer row is a batch of its own
+BATCH_BYTES = 4 << 20
 #: bytes of text that one step of a task handles at once; a single longer text is a step of its own
 STEP_BYTES = 4 << 20
 
@@ -27,6 +31,40 @@ def worker_store() -> dict:
     return holder.__dict__.setdefault("kept", {})
 
 
+def prepare_texts(spark: SparkSession) -> SparkSession:
+    """As ``prepare``; a worker also gets ``BATCH_BYTES`` of rows at once instead of all the texts of a task in one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if given is None or not 0 < int(given.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return prepare(spark)
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system; a worker lives on and would keep it for tasks to come."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *own: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks that leave nothing behind: what other operators keep in the worker goes before, what was freed after.
+
+    ``own`` are the first parts of the keys in ``worker_store`` that stay, for ``run`` to find again.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker_store()
+        for key in [k for k in kept if (k[0] if isinstance(k, tuple) else k) not in own]:
+            del kept[key]
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return tidied
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with as many underscores as it takes to clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -72,7 +110,7 @@ def annotate(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructFiel
             new = [m if isinstance(m, pa.Array) else pa.array(m, k) for m, k in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=labels)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 T_ARROW = {

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import held_out, steps
+from sievemill.llm.common import held_out, steps, tidy
 
-#: bytes handled at once, and buckets (a power of two); the last buckets are kept for REPEATED_WORD and REPEATED_LINE
-STEP, BUCKET_BITS = 1 << 20, 12
+#: bytes handled at once (a step's arrays take some hundred times as much), and buckets (a power of two); the last buckets are kept for REPEATED_WORD and REPEATED_LINE
+STEP, BUCKET_BITS = 1 << 18, 12
 DIMS = 1 << BUCKET_BITS
 REPEATED_WORD, REPEATED_LINE, OTHERS = DIMS - 1, DIMS - 2, DIMS - 2
 
@@ -145,6 +145,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: i
             rows = [x.tobytes() for block in blocks(batch.column("text")) for x in block.astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("crc"), pa.array(rows, pa.binary())], names=["id", "crc", "x"])
 
-    rows = sorted(one.mapInArrow(compute, "id bigint, crc bigint, x binary").collect(), key=lambda r: r["id"])  # a row for each chosen id
+    rows = sorted(one.mapInArrow(tidy(compute), "id bigint, crc bigint, x binary").collect(), key=lambda r: r["id"])  # a row for each chosen id
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMS), np.float32)
     return x, np.array([chosen[r["id"]] for r in rows], dtype=float), np.array([r["crc"] for r in rows], dtype=np.int64)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import stored, worker_store
+from sievemill.llm.common import stored, tidy, worker_store
 from sievemill.llm.features import SPACE
 
 CAPACITY = 2048
@@ -181,7 +181,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return narrow.mapInArrow(tidy(run, "words"), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import components, spare, stored
+from sievemill.llm.common import components, spare, stored, tidy
 
 #: words in a shingle, and bits by which linked fingerprints may differ
 SHINGLE, DISTANCE = 3, 2
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             signed = np.array(made, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(signed)], names=["doc_id", "text_hash", "fp"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
+    return narrow.mapInArrow(tidy(run), f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
