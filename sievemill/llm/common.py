@@ -18,6 +18,8 @@ from sievemill.session import prepare, shared_dir
 
 #: bytes of rows that a worker gets at once; a single longer row is a batch of its own
 BATCH_BYTES = 4 << 20
+#: edges up to which a round of ``components`` writes a file per core instead of one per shuffle partition
+FEW_EDGES = 50_000
 #: bytes of text that one step of a task handles at once; a single longer text is a step of its own
 STEP_BYTES = 4 << 20
 
@@ -141,8 +143,14 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest id of the component.  Rounds of large and small stars: every vertex first ties its
     larger neighbours to the smallest one it knows, then its smaller ones, until nothing changes; a path halves each
     round.  The smallest neighbours are stored before they are joined back, so that a hub's rows can be split.
-    Loops count as no edge.
+    Loops count as no edge.  Rounds over few edges run and write in no more tasks than there are cores: each file that
+    an executor writes also costs it some short processes, and all those tasks are but their start.
     """
+    wide = edges.sparkSession.sparkContext.defaultParallelism
+
+    def held(df: DataFrame) -> DataFrame:
+        return stored(df.coalesce(wide) if state[0] <= FEW_EDGES else df)
+
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     seen = None
     while True:
@@ -151,13 +159,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.union(now.select("b", "a"))
-        low = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        low = held(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         # larger neighbours of a go to the smallest of a and its neighbours
         large = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = stored(large)
-        low = stored(now.groupBy("a").agg(F.min("b").alias("m")))
+        now = held(large)
+        low = held(now.groupBy("a").agg(F.min("b").alias("m")))
         # smaller neighbours of a, and a itself, go to the smallest neighbour
         small = now.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct())
+        now = held(small.union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct())
     roots = now.select(F.col("b").alias("id")).distinct().withColumn("root", F.col("id"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)

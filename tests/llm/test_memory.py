@@ -65,3 +65,20 @@ def test_a_task_drops_what_other_operators_keep():
     finally:
         kept.clear()
         kept.update(before)
+
+
+def test_rounds_over_few_edges_write_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda session: str(tmp_path))
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        path = [(i, i + 1) for i in range(300) if i % 100 != 99] + [(1000, i) for i in range(1001, 1400)]
+        found = {r["id"]: r["root"] for r in common.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
+        assert found == {i: 1000 if i >= 1000 else i // 100 * 100 for i in [*range(300), *range(1000, 1400)]}
+        files = sorted(len(list(p.glob("part-*"))) for p in (tmp_path / "llm").iterdir())
+        assert len(files) > 8 and files[-2] <= spark.sparkContext.defaultParallelism  # all but the first table
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
